@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import cross_split, format_dups, mixture, near_dups, tokens, top_n
+from lodestone.llm import cross_split, format_dups, mixture, near_dups, pair_defects, tokens, top_n
 from lodestone.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,8 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": lambda s, d: top_n.best_entries(table(s, d, "dump_entries")).select("entry_id"),
         "p1_ranked": lambda s, d: top_n.best_entries(table(s, d, "dump_entries")),
+        "p2_found": lambda s, d: pair_defects.first_defect(table(s, d, "dump_entries")),
+        "p2_all": lambda s, d: pair_defects.pair_defects(table(s, d, "dump_entries")),
         "p3_found": lambda s, d: format_dups.duplicate_lines(table(s, d, "dump_lines")),
         "p3_copies": lambda s, d: format_dups.record_copies(table(s, d, "dump_lines")),
         "p4_found": lambda s, d: cross_split.overlap_pairs(table(s, d, "qa_samples")),
