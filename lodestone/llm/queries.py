@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import cross_split, format_dups, mixture, near_dups, pair_defects, tokens, top_n
+from lodestone.llm import cross_split, format_dups, mixture, near_dups, pair_defects, stuffed_pages, tokens, top_n
 from lodestone.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,8 @@ def queries() -> dict[str, Query]:
         "p6_ids": lambda s, d: tokens.encode_texts(table(s, d, "documents"), "doc_id", "text"),
         "p7_mixture": lambda s, d: mixture.mixture(table(s, d, "documents"), table(s, d, "mix_targets")),
         "p7_shares": lambda s, d: mixture.reached_shares(table(s, d, "documents"), table(s, d, "mix_targets")),
+        "p8_found": lambda s, d: stuffed_pages.stuffed_pages(table(s, d, "documents")),
+        "p8_scores": lambda s, d: stuffed_pages.page_scores(table(s, d, "documents")),
     }
 
 
