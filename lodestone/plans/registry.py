@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "q09_and_intersect_w"
-MODULES: tuple[str, ...] = ("logic_queries", "graph_queries", "text_queries", "valid_queries", "rollout_queries")
+MODULES: tuple[str, ...] = ("logic_queries", "graph_queries", "text_queries", "valid_queries", "rollout_queries", "data_queries")
 
 
 def queries() -> dict[str, Query]:

@@ -48,10 +48,16 @@ def _drop_at_exit(spark: SparkSession, folder: str) -> None:
     atexit.register(drop)
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder name in the shared folder, dropped when the process ends."""
+    folder = f"{_shared_folder(spark)}/lodestone-{label}-{uuid.uuid4().hex}"
+    _drop_at_exit(spark, folder)
+    return folder
+
+
 def cut(df: DataFrame, label: str = "step") -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here and a lost executor costs no recomputation."""
     spark = df.sparkSession
-    folder = f"{_shared_folder(spark)}/lodestone-{label}-{uuid.uuid4().hex}"
+    folder = scratch(spark, label)
     df.write.parquet(folder)
-    _drop_at_exit(spark, folder)
     return spark.read.schema(df.schema).parquet(folder)
