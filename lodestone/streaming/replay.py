@@ -19,6 +19,8 @@ CHAIN_SCHEMA = "sample_no long, i int, depth int, kept boolean"
 
 def windowed(events: DataFrame, late: str = "10 minutes", size: str = "1 hour") -> DataFrame:
     """(start, event_type, n, total): tumbling windows; events later than the watermark are left out in a stream."""
+    if events.isStreaming:  # event time must carry a zone
+        events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     w = events.withWatermark("ts", late).groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return w.select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
