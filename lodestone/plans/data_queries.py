@@ -70,17 +70,18 @@ def _qa(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "qa_samples")
 
 
-_FL = F.coalesce("function_list", F.array().cast("array<string>"))
+def _fl():
+    return F.coalesce("function_list", F.array().cast("array<string>"))
 
 
 def _hints(s: SparkSession, d: str) -> DataFrame:
     p = F.concat(F.lit("Intro\n\nQuestion: "), F.coalesce("question", F.lit("")))
-    h = F.array_join(etl.action_lines(_FL), "\n")
+    h = F.array_join(etl.action_lines(_fl()), "\n")
     return _qa(s, d).select("sample_no", *[F.md5(etl.add_hint(p, h, k)).alias(k) for k in ("reference", "hidden", "example")], (etl.clean_hints(etl.add_hint(p, h, "reference")) == tx.strip(F.regexp_replace(p, r"\n{3,}", "\n\n"))).alias("clean"))
 
 
 def _statuses(s: SparkSession, d: str) -> DataFrame:
-    status = F.when(C("question").isNull() | (F.trim("question") == ""), "skipped").when(F.size(_FL) <= 0, "without_hint").otherwise("with_hint")
+    status = F.when(C("question").isNull() | (F.trim("question") == ""), "skipped").when(F.size(_fl()) <= 0, "without_hint").otherwise("with_hint")
     return _qa(s, d).groupBy(status.alias("status")).agg(F.count("*").alias("n"))
 
 
@@ -144,7 +145,7 @@ def _roles(s: SparkSession, d: str) -> DataFrame:
 def _previous(s: SparkSession, d: str) -> DataFrame:
     qa = _qa(s, d)
     key = F.coalesce(F.when(F.trim("question") != "", C("question")), C("id"))
-    old = qa.where("split = 'train'").select(key.alias("key"), F.size(etl.entities(_FL)).alias("n"))
+    old = qa.where("split = 'train'").select(key.alias("key"), F.size(etl.entities(_fl())).alias("n"))
     return files.from_previous(qa.select("sample_no", "question", "id"), old, key, "n").select("sample_no", "n")
 
 
@@ -220,10 +221,10 @@ def queries() -> dict:
         "d16_lists_of_rows": lambda s, d: batch(s, d).groupBy("g").agg(F.count("*").alias("n"), F.array_join(F.slice(F.sort_array(F.collect_set("idx")), 1, 5), ",").alias("first")),
         "d17_pad_and_positions": _padded,
         "d18_masked_concat": _state,
-        "d19_curriculum": lambda s, d: b.numbered(_qa(s, d).select("sample_no", F.size(_FL).alias("hard")), "hard", "sample_no").select("sample_no", "hard", "idx"),
-        "e01_scratchpad": lambda s, d: _qa(s, d).select("sample_no", F.md5(etl.scratchpad(_FL)).alias("pad"), F.array_join(F.transform(etl.entities(_FL), lambda e: e.id), " ").alias("ids")),
-        "e02_prompt": lambda s, d: _qa(s, d).select("sample_no", etl.prompt(etl.with_mark(F.coalesce("question", F.lit(""))), etl.entities(_FL), F.lower("dataset")).alias("prompt")),
-        "e03_response": lambda s, d: _qa(s, d).select("sample_no", etl.response(_FL, F.coalesce("answer", F.array().cast("array<string>"))).alias("response")),
+        "d19_curriculum": lambda s, d: b.numbered(_qa(s, d).select("sample_no", F.size(_fl()).alias("hard")), "hard", "sample_no").select("sample_no", "hard", "idx"),
+        "e01_scratchpad": lambda s, d: _qa(s, d).select("sample_no", F.md5(etl.scratchpad(_fl())).alias("pad"), F.array_join(F.transform(etl.entities(_fl()), lambda e: e.id), " ").alias("ids")),
+        "e02_prompt": lambda s, d: _qa(s, d).select("sample_no", etl.prompt(etl.with_mark(F.coalesce("question", F.lit(""))), etl.entities(_fl()), F.lower("dataset")).alias("prompt")),
+        "e03_response": lambda s, d: _qa(s, d).select("sample_no", etl.response(_fl(), F.coalesce("answer", F.array().cast("array<string>"))).alias("response")),
         "e04_rl_records": lambda s, d: etl.rl_records(_qa(s, d)).select("sample_no", "data_source", "extra_info.original_question", "extra_info.n_entities", F.size("reward_model.ground_truth.target").alias("n_target"), "reward_model.ground_truth.sexpr"),
         "e05_rewritten_hints": _rewritten,
         "e06_hints": _hints,

@@ -10,7 +10,7 @@ from lodestone.functions import terms
 from lodestone.plans.functions_list import MODES, ORDERS
 from lodestone.session import table
 
-OUT, GOLD = F.col("output"), F.col("gts.target")
+C = F.col
 
 
 def _dump(s: SparkSession, d: str) -> DataFrame:
@@ -19,7 +19,7 @@ def _dump(s: SparkSession, d: str) -> DataFrame:
 
 def _with_mids(df: DataFrame) -> DataFrame:
     """mids as a column of its own, so that it is computed once however often it is used."""
-    return df.withColumn("mids", tx.mid_list(OUT))
+    return df.withColumn("mids", tx.mid_list(C("output")))
 
 
 def _on_dump(*cols, golds: bool = False):
@@ -34,7 +34,9 @@ def _r(c, n: int = 6):
     return F.round(c, n)
 
 
-_ROUND2 = F.regexp_replace(OUT, "(</?)action>", "$1sparql>")
+def _as_queries():
+    """The output with its actions as queries."""
+    return F.regexp_replace(C("output"), "(</?)action>", "$1sparql>")
 
 
 def _sparql_pairs(s: SparkSession, d: str) -> DataFrame:
@@ -55,9 +57,9 @@ def _sparql_scores(s: SparkSession, d: str) -> DataFrame:
 
 def _bonus_scores(s: SparkSession, d: str) -> DataFrame:
     """score_em and score_mid_em with bonuses, on outputs whose actions stand as queries."""
-    ok, golds = tx.valid_sparql_sequence(_ROUND2), F.coalesce(GOLD, F.array().cast("array<string>"))
-    info_t, info_m = F.col("ok") & tx.relevant(OUT, F.col("golds"), ids=False), F.col("ok") & tx.relevant(OUT, F.col("golds"), ids=True)
-    ans, mids = tx.last_answer(OUT), F.col("mids")
+    ok, golds = tx.valid_sparql_sequence(_as_queries()), F.coalesce(C("gts.target"), F.array().cast("array<string>"))
+    info_t, info_m = F.col("ok") & tx.relevant(C("output"), F.col("golds"), ids=False), F.col("ok") & tx.relevant(C("output"), F.col("golds"), ids=True)
+    ans, mids = tx.last_answer(C("output")), F.col("mids")
     df = _with_mids(_dump(s, d)).withColumns({"ok": ok, "last": ans, "golds": golds})
     df = df.withColumns({"bt": 0.1 * info_t.cast("int"), "bm": 0.1 * info_m.cast("int"), "f1": tx.prf(F.col("golds"), mids).f1, "right": tx.exact(F.col("last"), F.col("golds"))})
     c = F.col
@@ -67,7 +69,7 @@ def _bonus_scores(s: SparkSession, d: str) -> DataFrame:
 
 
 def _mid_counters(s: SparkSession, d: str) -> DataFrame:
-    return _dump(s, d).agg(F.count("*").alias("n"), F.count(tx.mid_list(OUT)).alias("extracted"), F.sum(tx.valid_action_sequence(OUT).cast("long")).alias("valid"))
+    return _dump(s, d).agg(F.count("*").alias("n"), F.count(tx.mid_list(C("output"))).alias("extracted"), F.sum(tx.valid_action_sequence(C("output")).cast("long")).alias("valid"))
 
 
 def _types(s: SparkSession, d: str) -> DataFrame:
@@ -96,7 +98,7 @@ ACTION = r"(?i)^(?:Action\d+:\s*)?(Find_relation|Merge|Order|Compare|Time_constr
 
 def _actions(s: SparkSession, d: str) -> DataFrame:
     """(entry_id, i, name, args) of the lines of the first action block."""
-    block = F.get(tx.tagged(OUT, "action", any_case=True), F.lit(0))
+    block = F.get(tx.tagged(C("output"), "action", any_case=True), F.lit(0))
     lines = _dump(s, d).select("entry_id", F.posexplode(F.filter(F.transform(F.split(block, "\n"), tx.strip), lambda x: x != "")).alias("i", "line"))
     name, inner = F.lower(F.regexp_extract("line", ACTION, 1)), F.regexp_extract("line", ACTION, 2)
     args = F.transform(F.split(inner, r"\|"), tx.strip)
@@ -107,7 +109,7 @@ def _actions(s: SparkSession, d: str) -> DataFrame:
 
 def _results(s: SparkSession, d: str) -> DataFrame:
     """Result lists, shown: ids in order without repeats, cut to three for functions, and cut to a length at a line's end."""
-    info = F.array_join(tx.tagged(OUT, "information"), "\n")
+    info = F.array_join(tx.tagged(C("output"), "information"), "\n")
     ids = F.array_distinct(F.regexp_extract_all(info, F.lit(r"([mg]\.[A-Za-z0-9_]+)"), F.lit(1)))
     lines = F.split(info, "\n")
     ends = F.transform(lines, lambda x, i: F.aggregate(F.slice(lines, F.lit(1), i + 1), F.lit(0), lambda a, y: a + F.length(y) + 1))
@@ -118,60 +120,60 @@ def _results(s: SparkSession, d: str) -> DataFrame:
 
 def _hints(s: SparkSession, d: str) -> DataFrame:
     """Info block: the results, a hint where the relation's similarity is low, the other candidates."""
-    res = F.array_join(F.slice(GOLD, 1, 3), ", ")
+    res = F.array_join(F.slice(C("gts.target"), 1, 3), ", ")
     score = F.coalesce("mid_f1", F.lit(0.0))
-    block = F.concat_ws("\n", F.lit("<information>"), res, F.when(score < 0.98, F.concat(F.lit("hint: similarity "), F.round(score, 2).cast("decimal(4,2)").cast("string"))), F.when((score <= 0.95) & (F.size(GOLD) > 3), F.concat(F.lit("others: "), F.array_join(F.slice(GOLD, 4, 5), ", "))), F.lit("</information>"))
+    block = F.concat_ws("\n", F.lit("<information>"), res, F.when(score < 0.98, F.concat(F.lit("hint: similarity "), F.round(score, 2).cast("decimal(4,2)").cast("string"))), F.when((score <= 0.95) & (F.size(C("gts.target")) > 3), F.concat(F.lit("others: "), F.array_join(F.slice(C("gts.target"), 4, 5), ", "))), F.lit("</information>"))
     return _dump(s, d).where("gts.target IS NOT NULL").select("entry_id", block.alias("block"), F.when(F.col("input").contains("<|im_start|>"), "chat").otherwise("plain").alias("header"))
 
 
 def _placed(s: SparkSession, d: str) -> DataFrame:
     """The score stands at the last valid token of a response; lengths are in words."""
-    n = F.least(F.size(F.split(tx.squeeze(OUT), " ")), F.lit(64))
+    n = F.least(F.size(F.split(tx.squeeze(C("output")), " ")), F.lit(64))
     df = _dump(s, d).where("score IS NOT NULL AND NOT isnan(score)").select("entry_id", F.col("score") + 0.0, n.alias("n")).toDF("entry_id", "score", "n")
     placed = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.when(i == F.col("n"), F.col("score")).otherwise(0.0))
     return df.select("entry_id", "n", F.aggregate(placed, F.lit(0.0), lambda a, x: a + x).alias("total"), F.get(placed, F.col("n") - 1).alias("at_last"), _r(tx.overlong_penalty(F.col("n"), 60, 20, 1.0)).alias("penalty"))
 
 
 def _prf_cols():
-    p = tx.prf(GOLD, F.coalesce("mids", F.array().cast("array<string>")))
+    p = tx.prf(C("gts.target"), F.coalesce("mids", F.array().cast("array<string>")))
     return _r(p.p).alias("p"), _r(p.r).alias("r"), _r(p.f1).alias("f1")
 
 
 def queries() -> dict:
     def rewards(s, d):
-        return _with_mids(_dump(s, d)).select("entry_id", tx.mid_reward(OUT, GOLD, F.col("mids")).alias("x")).select("entry_id", *[_r(F.col(f"x.{c}")).alias(c) for c in ("total", "mid_f1", "structure_reward", "timeout_penalty")])
+        return _with_mids(_dump(s, d)).select("entry_id", tx.mid_reward(C("output"), C("gts.target"), F.col("mids")).alias("x")).select("entry_id", *[_r(F.col(f"x.{c}")).alias(c) for c in ("total", "mid_f1", "structure_reward", "timeout_penalty")])
 
     dump = lambda f: lambda s, d: f(_dump(s, d))
     return {
-        "t01_normalize_spaced": _on_dump(lambda: tx.normalize_spaced(tx.last_answer(OUT)).alias("norm")),
-        "t02_normalize_joined": _on_dump(lambda: tx.normalize_joined(tx.last_answer(OUT)).alias("norm")),
-        "t03_exact_and_contained": _on_dump(lambda: tx.exact(tx.last_answer(OUT), GOLD).alias("em"), lambda: tx.contained(tx.last_answer(OUT), GOLD).alias("sub"), golds=True),
-        "t04_answers": _on_dump(lambda: tx.first_answer(OUT).alias("first"), lambda: tx.last_answer(OUT).alias("last")),
-        "t05_score_exact_or_f1": _on_dump(lambda: _r(tx.exact_or_f1(tx.first_answer(OUT), GOLD)).alias("score"), golds=True),
+        "t01_normalize_spaced": _on_dump(lambda: tx.normalize_spaced(tx.last_answer(C("output"))).alias("norm")),
+        "t02_normalize_joined": _on_dump(lambda: tx.normalize_joined(tx.last_answer(C("output"))).alias("norm")),
+        "t03_exact_and_contained": _on_dump(lambda: tx.exact(tx.last_answer(C("output")), C("gts.target")).alias("em"), lambda: tx.contained(tx.last_answer(C("output")), C("gts.target")).alias("sub"), golds=True),
+        "t04_answers": _on_dump(lambda: tx.first_answer(C("output")).alias("first"), lambda: tx.last_answer(C("output")).alias("last")),
+        "t05_score_exact_or_f1": _on_dump(lambda: _r(tx.exact_or_f1(tx.first_answer(C("output")), C("gts.target"))).alias("score"), golds=True),
         "t06_t07_query_scores": _sparql_scores,
-        "t08_mid_list": _on_dump(lambda: F.array_join(tx.mid_list(OUT), " ; ").alias("mids")),
+        "t08_mid_list": _on_dump(lambda: F.array_join(tx.mid_list(C("output")), " ; ").alias("mids")),
         "t09_prf": lambda s, d: _with_mids(_dump(s, d)).where("gts.target IS NOT NULL").select("entry_id", *_prf_cols()),
-        "t10_best_f1": lambda s, d: _with_mids(_dump(s, d)).where("gts.target IS NOT NULL").select("entry_id", _r(tx.best_prf(F.array(F.slice(GOLD, 1, 1), GOLD), F.coalesce("mids", F.array().cast("array<string>"))).f1).alias("f1")),
+        "t10_best_f1": lambda s, d: _with_mids(_dump(s, d)).where("gts.target IS NOT NULL").select("entry_id", _r(tx.best_prf(F.array(F.slice(C("gts.target"), 1, 1), C("gts.target")), F.coalesce("mids", F.array().cast("array<string>"))).f1).alias("f1")),
         "t11_mid_reward": rewards,
-        "t12_partial_format": _on_dump(lambda: _r(tx.partial_format_reward(OUT, 1.0)).alias("reward")),
+        "t12_partial_format": _on_dump(lambda: _r(tx.partial_format_reward(C("output"), 1.0)).alias("reward")),
         "t13_progressive": dump(lambda df: df.where("score IS NOT NULL AND NOT isnan(score) AND step IS NOT NULL").select("entry_id", _r(tx.progressive(F.col("score"), F.col("step") % 20)).alias("reward"))),
-        "t14_action_grammar": _on_dump(lambda: tx.valid_action_sequence(OUT).alias("valid")),
-        "t15_sparql_grammar": _on_dump(lambda: tx.valid_sparql_sequence(_ROUND2).alias("valid")),
-        "t16_relevant": _on_dump(lambda: tx.relevant(OUT, GOLD, False).alias("text"), lambda: tx.relevant(OUT, GOLD, True).alias("ids"), golds=True),
+        "t14_action_grammar": _on_dump(lambda: tx.valid_action_sequence(C("output")).alias("valid")),
+        "t15_sparql_grammar": _on_dump(lambda: tx.valid_sparql_sequence(_as_queries()).alias("valid")),
+        "t16_relevant": _on_dump(lambda: tx.relevant(C("output"), C("gts.target"), False).alias("text"), lambda: tx.relevant(C("output"), C("gts.target"), True).alias("ids"), golds=True),
         "t17_t18_bonus_scores": _bonus_scores,
-        "t19_number_answers": _on_dump(lambda: F.replace(F.coalesce(F.try_element_at(F.regexp_extract_all(tx.last_answer(OUT), F.lit(r"(-?[0-9.,]+)"), F.lit(1)), F.lit(-1)), F.lit("")), F.lit(","), F.lit("")).alias("number")),
+        "t19_number_answers": _on_dump(lambda: F.replace(F.coalesce(F.try_element_at(F.regexp_extract_all(tx.last_answer(C("output")), F.lit(r"(-?[0-9.,]+)"), F.lit(1)), F.lit(-1)), F.lit("")), F.lit(","), F.lit("")).alias("number")),
         "t20_dispatch": lambda s, d: table(s, d, "qa_samples").select("sample_no", F.when(F.lower("dataset").isin("webqsp", "grailqa", "graphq", "cwq"), "mid_reward").otherwise("em").alias("reward")),
         "t21_t22_placed_scores": _placed,
         "t23_t24_actions": _actions,
         "t25_t26_t27_results": _results,
-        "t28_joined_results": _on_dump(lambda: F.replace(F.array_join(F.coalesce(GOLD, F.array().cast("array<string>")), "\n"), F.lit("\0"), F.lit("")).alias("text")),
+        "t28_joined_results": _on_dump(lambda: F.replace(F.array_join(F.coalesce(C("gts.target"), F.array().cast("array<string>")), "\n"), F.lit("\0"), F.lit("")).alias("text")),
         "t29_t33_info_block": _hints,
         "t30_merged_results": dump(lambda df: df.where("file_stem IS NOT NULL AND input IS NOT NULL").groupBy(F.md5("input").alias("g")).agg(F.count("*").alias("parts"), F.sum(F.length("output")).alias("chars"))),
-        "t31_until_close": _on_dump(lambda: tx.until_close(OUT).alias("cut")),
+        "t31_until_close": _on_dump(lambda: tx.until_close(C("output")).alias("cut")),
         "t32_candidates": lambda s, d: table(s, d, "dump_entries").where("input IS NOT NULL").select("entry_id", F.explode(tx.candidate_entities(F.col("input"))).alias("c")).select("entry_id", "c.name", "c.id"),
         "t34_typed_literals": _literals,
-        "t35_em_wrappers": _on_dump(lambda: F.when(tx.last_answer(OUT).isNull(), 0.0).when(tx.exact(tx.last_answer(OUT), GOLD), 1.0).otherwise(0.1).alias("em"), golds=True),
-        "t36_bonus_f1": _on_dump(lambda: F.when(F.coalesce(F.size(tx.mid_list(OUT)), F.lit(0)) <= 0, 0.0).otherwise(_r(tx.prf(GOLD, tx.mid_list(OUT)).f1 + 0.2 * tx.valid_action_sequence(OUT).cast("int"))).alias("score"), golds=True),
+        "t35_em_wrappers": _on_dump(lambda: F.when(tx.last_answer(C("output")).isNull(), 0.0).when(tx.exact(tx.last_answer(C("output")), C("gts.target")), 1.0).otherwise(0.1).alias("em"), golds=True),
+        "t36_bonus_f1": _on_dump(lambda: F.when(F.coalesce(F.size(tx.mid_list(C("output"))), F.lit(0)) <= 0, 0.0).otherwise(_r(tx.prf(C("gts.target"), tx.mid_list(C("output"))).f1 + 0.2 * tx.valid_action_sequence(C("output")).cast("int"))).alias("score"), golds=True),
         "t37_classifiers": _types,
         "a37_extraction_counters": _mid_counters,
     }
