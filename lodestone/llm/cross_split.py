@@ -36,21 +36,33 @@ def _equal(qa: DataFrame, field: Column) -> DataFrame:
 
 
 def question_overlaps(qa: DataFrame, num: int = 3, den: int = 4) -> DataFrame:
-    """(train_no, eval_no, shared, n_train, n_eval): distinct words shared by near-same questions."""
-    sets = cut(described(qa, "sample_no", "question", run=1, least_elements=5, keep_elements=True), "questions")
-    ranked = cut(by_rarity(sets), "ranked").join(qa.select(F.col("sample_no").alias("id"), "split"), "id")
-    chunks = ranked.select("id", "split", "n", "pops", F.explode(F.slice("ranked", F.lit(1), prefix_length(F.col("n"), num, den))).alias("c")).select("id", "split", "n", "pops", F.col("c.e").alias("chunk"))
-    train, held = _sides(chunks)
-    train = train.select("chunk", F.col("id").alias("train_no"), F.col("n").alias("n_train"), F.col("pops").alias("pt"))
-    held = held.select("chunk", F.col("id").alias("eval_no"), F.col("n").alias("n_eval"), F.col("pops").alias("pe"))
+    """(train_no, eval_no, shared, n_train, n_eval): distinct words shared by near-same questions.
+
+    Equal questions of one side are compared once, by their smallest sample_no, and the result is then spread over all of them.
+    """
+    train_side = F.lower(F.trim("split")) == "train"
+    held_side = F.lower(F.trim("split")).isin("dev", "test")
+    sides = qa.where(train_side | held_side).select("sample_no", "question", train_side.alias("train"))
+    sets = cut(described(sides, "sample_no", "question", run=1, least_elements=5, keep_elements=True).join(sides.select(F.col("sample_no").alias("id"), "train").distinct(), "id"), "questions")
+    reps = cut(sets.groupBy("digest", "train").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", "pops", "els")]), "question-classes")
+    ranked = cut(by_rarity(reps), "ranked").join(reps.select("id", "train"), "id")
+    head = F.explode(F.slice("ranked", F.lit(1), prefix_length(F.col("n"), num, den)))
+    chunks = ranked.select("id", "train", "n", "pops", head.alias("c")).select("id", "train", "n", "pops", F.col("c.e").alias("chunk"))
+    train = chunks.where("train").select("chunk", F.col("id").alias("train_no"), F.col("n").alias("n_train"), F.col("pops").alias("pt"))
+    held = chunks.where("NOT train").select("chunk", F.col("id").alias("eval_no"), F.col("n").alias("n_eval"), F.col("pops").alias("pe"))
     fit = F.least("n_train", "n_eval") * den >= F.greatest("n_train", "n_eval") * num
     bound = manhattan(F.col("pt"), F.col("pe")) * (den + num) <= (F.col("n_train") + F.col("n_eval")) * (den - num)
     # the shared chunks' lengths, one word each, are a lower bound of the overlap
     pairs = train.join(held, "chunk").where(fit & bound).groupBy("train_no", "eval_no").agg(F.count("*").alias("chunk_words"))
-    a = sets.select(F.col("id").alias("train_no"), F.col("els").alias("et"))
-    b = sets.select(F.col("id").alias("eval_no"), F.col("els").alias("ee"))
+    a = reps.where("train").select(F.col("id").alias("train_no"), F.col("els").alias("et"))
+    b = reps.where("NOT train").select(F.col("id").alias("eval_no"), F.col("els").alias("ee"))
     both = pairs.join(a, "train_no").join(b, "eval_no").select("train_no", "eval_no", F.size(F.array_intersect("et", "ee")).alias("shared"), F.size("et").alias("n_train"), F.size("ee").alias("n_eval"))
-    return both.where((F.col("n_train") + F.col("n_eval") - F.col("shared")) * num <= F.col("shared") * den)
+    near = both.where((F.col("n_train") + F.col("n_eval") - F.col("shared")) * num <= F.col("shared") * den)
+    rep = reps.select("digest", "train", F.col("id").alias("rep"))
+    members = sets.select("id", "digest", "train").join(rep, ["digest", "train"])
+    spread = near.join(members.where("train").select(F.col("rep").alias("train_no"), F.col("id").alias("t")), "train_no")
+    spread = spread.join(members.where("NOT train").select(F.col("rep").alias("eval_no"), F.col("id").alias("e")), "eval_no")
+    return spread.select(F.col("t").alias("train_no"), F.col("e").alias("eval_no"), "shared", "n_train", "n_eval")
 
 
 def overlaps(qa: DataFrame) -> DataFrame:

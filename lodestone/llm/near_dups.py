@@ -14,7 +14,7 @@ lost with probability 0.0015, one at 0.65 with 0.00005, one above 0.7 with less
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.sets import SEGMENTS, SLOTS, described
@@ -97,8 +97,8 @@ def expanded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     The result holds all pairs of a class of equal sets, as problem 5 wants; use `pairs` and `classes` where it doesn't.
     """
-    member = sets.select("id", F.min("id").over(Window.partitionBy("digest")).alias("rep"), F.count("*").over(Window.partitionBy("digest")).alias("size"))
-    several = cut(member.where("size > 1").select("id", "rep"), "members")
+    shared = sets.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("size")).where("size > 1")
+    several = cut(sets.join(shared, "digest").select("id", "rep"), "members")
     left = pairs.join(several.select(F.col("rep").alias("a"), F.col("id").alias("x")), "a", "left").select("b", F.coalesce("x", "a").alias("x"))
     cross = left.join(several.select(F.col("rep").alias("b"), F.col("id").alias("y")), "b", "left").select("x", F.coalesce("y", "b").alias("y"))
     inside = several.alias("l").join(several.alias("r"), "rep").where("l.id < r.id").select(F.col("l.id").alias("x"), F.col("r.id").alias("y"))
