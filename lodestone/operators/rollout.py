@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.batch import numbered
+
 EPS = 1e-6
 WHITEN_EPS = 1e-8
 C = F.col
@@ -235,11 +237,9 @@ def kl_cov_loss(df: DataFrame, row_id: str, ratio: float = 0.01, coef: float = 1
     row and place. The share is kept by a global threshold, not by sorting all tokens in one task."""
     tok = df.select(row_id, F.posexplode(F.arrays_zip("m", "old", "new", "adv")).alias("i", "t")).where("t.m > 0").select(row_id, "i", "t.*")
     tok = with_total(tok, _ma=F.avg("adv"), _mn=F.avg("new"), _n=F.count("*")).withColumn("cov", (C("adv") - C("_ma")) * (C("new") - C("_mn")))
+    cov = F.round("cov", 9)  # sums in another order must not change which token comes first
     k = F.greatest(F.floor(C("_n") * ratio), F.lit(1))
-    keys = tok.select("cov", row_id, "i", k.alias("_k"))
-    top = keys.agg(F.max("_k")).first()[0] or 0
-    cut = keys.orderBy(C("cov").desc(), row_id, "i").limit(int(top)).select(row_id, "i", F.lit(True).alias("_pay"))
-    paid = tok.join(cut, [row_id, "i"], "left")
+    paid = numbered(tok, cov.desc(), row_id, "i", name="_place").withColumn("_pay", C("_place") < k)
     loss = -C("adv") * F.exp(C("new") - C("old")) + F.when(C("_pay"), coef * F.abs(C("new") - C("old"))).otherwise(0.0)
     return paid.agg((F.sum(loss) / (F.count("*") + 1e-8)).alias("loss"))
 
@@ -253,8 +253,10 @@ def clip_cov_loss(df: DataFrame, row_id: str, ratio: float = 0.01, low: float =
     l1, l2 = -C("adv") * r, -C("adv") * clamp(r, 1 - clip, 1 + clip)
     cov = (C("adv") - C("_ma")) * (C("new") - C("_mn"))
     tok = tok.withColumn("_in", (l2 <= l1) & (cov > low) & (cov < high)).withColumn("_l", F.greatest(l1, l2))
-    picked = tok.where("_in").orderBy(F.xxhash64(F.lit(seed), row_id, "i"), row_id, "i").limit(max(1, int((tok.agg(F.count("*")).first()[0] or 0) * ratio))).select(row_id, "i", F.lit(True).alias("_drop"))
-    return tok.join(picked, [row_id, "i"], "left").agg((F.sum(F.when(C("_drop"), 0.0).otherwise(C("_l"))) / (F.count("*") + 1e-8)).alias("loss"), F.count("_drop").alias("n_dropped"))
+    share = F.greatest(F.floor(C("_n") * ratio), F.lit(1))
+    order = F.when(C("_in"), 0).otherwise(1), F.xxhash64(F.lit(seed), row_id, "i"), C(row_id), C("i")
+    placed = numbered(tok, *order, name="_place").withColumn("_drop", C("_in") & (C("_place") < share))
+    return placed.agg((F.sum(F.when(C("_drop"), 0.0).otherwise(C("_l"))) / (F.count("*") + 1e-8)).alias("loss"), F.sum(C("_drop").cast("long")).alias("n_dropped"))
 
 
 def value_loss(df: DataFrame, clip: float = 0.5) -> DataFrame:

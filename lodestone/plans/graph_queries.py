@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import graph, vectors
 from lodestone.plans.logical_form import W, evaluate
-from lodestone.sources.triples import STAR_SQL, TRIPLES_SQL, facts, star_facts
+from lodestone.sources.triples import STAR_SQL, TRIPLES_SQL, StarStore, facts, star_facts
 from lodestone.session import table
 
 
@@ -72,13 +72,13 @@ def queries() -> dict:
         "g07_two_hop_sets": lambda s, d: graph.two_hop_sets(graph.two_hop(_kb(s, d))),
         "g08_two_hop_in_in": lambda s, d: graph.two_hop(_kb(s, d)).where("dir0 = 'in' AND dir1 = 'in'").select("entity", "r0", "r1"),
         "g09_first_labels": lambda s, d: graph.first_labels(_kb(s, d)),
-        "g10_entity_of_key": lambda s, d: star_facts(s, d).where("p = 'nation.nation.name' AND lex = 'CANADA'").select(F.col("s").alias("entity")),
+        "g10_entity_of_key": lambda s, d: StarStore(s, d).by("nation.nation.name").where("lex = 'NATION_03' OR lex = 'NATION_3'").select(F.col("s").alias("entity")),
         "g11_described": lambda s, d: graph.described(star_facts(s, d).where("s LIKE 'm.n%'"), {"nation.nation.region": "region", "nation.nation.name": "name", "rdfs:label": "label"}),
         "g12_type_list": lambda s, d: graph.types(_kb(s, d)).groupBy("entity").agg(F.array_join(F.sort_array(F.collect_list("type")), ";").alias("types")),
         "g13_frequencies": lambda s, d: graph.frequencies(_kb(s, d)),
         "g14_plain_relations": lambda s, d: graph.frequencies(_kb(s, d)).where(F.col("relation").rlike(graph.NAMESPACED)).select("relation"),
         "g15_exists": lambda s, d: table(s, d, "qa_samples").select(F.explode(F.expr(r"array_distinct(regexp_extract_all(sexpr, '[mg]\\.\\w+', 0))")).alias("entity")).distinct().join(_kb(s, d).select(F.col("s").alias("entity")).distinct().withColumn("known", F.lit(True)), "entity", "left").select("entity", F.coalesce("known", F.lit(False)).alias("known")),
-        "g16_next_relations": lambda s, d: graph.next_relations(star_facts(s, d), evaluate(star_facts(s, d), _NEXT, W, labels=False, limit=None)),
+        "g16_next_relations": lambda s, d: graph.next_relations(star_facts(s, d), evaluate(StarStore(s, d), _NEXT, W, labels=False, limit=None)),
         "g17_template_relations": lambda s, d: star_facts(s, d).where("kind = 'literal' AND lex LIKE '1-U%'").groupBy(F.col("p").alias("relation")).agg(F.count("*").alias("n")),
         "g18_combined": lambda s, d: graph.combine(_candidates(s, d), _lists(s, d)),
         "g18_combined_forward_first": lambda s, d: graph.combine(_candidates(s, d), _lists(s, d), reverse_first=False, literals=True),
@@ -146,7 +146,7 @@ def oracle_sql() -> dict[str, str]:
         "g07_two_hop_sets": f"WITH {plain} SELECT entity, list_sort(list(DISTINCT r)) AS relations FROM (SELECT entity, r0 AS r FROM t UNION SELECT entity, r1 FROM t) GROUP BY entity",
         "g08_two_hop_in_in": f"WITH {plain} SELECT entity, r0, r1 FROM t WHERE dir0 = 'in' AND dir1 = 'in'",
         "g09_first_labels": kb + f"SELECT s AS entity, min(lex) AS name FROM f WHERE p = 'rdfs:label' AND {en} GROUP BY s",
-        "g10_entity_of_key": star + "SELECT s AS entity FROM f WHERE p = 'nation.nation.name' AND lex = 'CANADA'",
+        "g10_entity_of_key": star + "SELECT s AS entity FROM f WHERE p = 'nation.nation.name' AND lex = 'NATION_3'",
         "g11_described": star + "SELECT s AS entity, min(lex) FILTER (p = 'nation.nation.region') AS region, min(lex) FILTER (p = 'nation.nation.name') AS name, min(lex) FILTER (p = 'rdfs:label') AS label FROM f WHERE s LIKE 'm.n%' AND p IN ('nation.nation.region', 'nation.nation.name', 'rdfs:label') GROUP BY s",
         "g12_type_list": kb + "SELECT entity, string_agg(type, ';' ORDER BY type) AS types FROM (SELECT DISTINCT s AS entity, lex AS type FROM f WHERE p = 'type.object.type') GROUP BY entity",
         "g13_frequencies": kb + "SELECT p AS relation, count(*) AS n FROM (SELECT DISTINCT s, p, o FROM f) GROUP BY p",

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from lodestone.plans import functions_list
 from lodestone.plans.logical_form import G, LIMIT, PlanError, W, evaluate, opposite, plan
-from lodestone.sources.triples import STAR_SQL, star_facts
+from lodestone.sources.triples import STAR_SQL, StarStore, by_predicate
 from lodestone.session import table
 
 XSD = "http://www.w3.org/2001/XMLSchema#"
@@ -97,21 +97,21 @@ def _plannable(s: str) -> bool:
         return False
 
 
-def start(facts: DataFrame, entity: str) -> DataFrame:
+def start(facts: DataFrame | StarStore, entity: str) -> DataFrame:
     """START: the constant itself, with its first English label."""
-    named = facts.where((F.col("s") == entity) & (F.col("p") == "rdfs:label") & F.col("lang").rlike("(?i)^en")).agg(F.min("lex").alias("name"))
+    named = by_predicate(facts, "rdfs:label").where((F.col("s") == entity) & F.col("lang").rlike("(?i)^en")).agg(F.min("lex").alias("name"))
     return named.select(F.lit(entity).alias("x"), "name")
 
 
 def _form(name: str, forms: dict):
     text, dialect, _ = forms[name]
-    return lambda s, d: evaluate(star_facts(s, d), text, dialect)
+    return lambda s, d: evaluate(StarStore(s, d), text, dialect)
 
 
 def stop(s: SparkSession, d: str) -> DataFrame:
     """A function list, made an S-expression and answered."""
     lines = ["expression1 = START('m.n3')", "expression1 = JOIN('customer.customer.nation', expression1)", "expression2 = START('m.seg_building')", "expression2 = JOIN('customer.customer.segment', expression2)", "expression1 = AND(expression1, expression2)", "expression1 = STOP(expression1)"]
-    return evaluate(star_facts(s, d), functions_list.to_sexpr(lines), W)
+    return evaluate(StarStore(s, d), functions_list.to_sexpr(lines), W)
 
 
 def shapes(qa: DataFrame) -> DataFrame:
@@ -137,7 +137,7 @@ def labelled(qa: DataFrame, facts: DataFrame) -> DataFrame:
 
 def trace(s: SparkSession, d: str) -> DataFrame:
     """(step, form, rows): how many answers each sub-expression has."""
-    facts, out = star_facts(s, d), None
+    facts, out = StarStore(s, d), None
     for i, form in enumerate(["(JOIN customer.customer.nation m.n3)", "(JOIN order.order.customer (JOIN customer.customer.nation m.n3))", "(AND (JOIN order.order.status m.st_F) (JOIN order.order.customer (JOIN customer.customer.nation m.n3)))"]):
         part = evaluate(facts, form, W, labels=False, limit=None).agg(F.count("*").alias("rows")).select(F.lit(i).alias("step"), F.lit(form).alias("form"), "rows")
         out = part if out is None else out.unionAll(part)
@@ -164,7 +164,7 @@ def built_calls(entries: DataFrame) -> DataFrame:
 def queries() -> dict:
     out = {n: _form(n, g) for g in (FORMS, BESTS, COUNTS) for n in g}
     out |= {
-        "q01_start": lambda s, d: start(star_facts(s, d), "m.n3"),
+        "q01_start": lambda s, d: start(StarStore(s, d), "m.n3"),
         "q11c_unplannable": lambda s, d: s.createDataFrame([(u, _plannable(u)) for u in UNPLANNED], "form string, planned boolean"),
         "q12a_opposite_relation": lambda s, d: s.createDataFrame([(r, k, *opposite(r, W if k == "W" else G)) for r, k, *_ in OPPOSITES], "relation string, dialect string, begins string, ends string"),
         "q15_stop": stop,

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.terms import as_number, as_time, english, time_bound
-from lodestone.sources.triples import LABEL, TYPE, XSD
+from lodestone.sources.triples import LABEL, TYPE, XSD, StarStore, by_predicate
 
 ENTITY = re.compile(r"^[mg]\.")
 PATH = re.compile(r"^[\w]*\.[\w]*\.[\w]*")
@@ -293,8 +293,8 @@ def compared(lex: Column, op: str, value: str, dialect: Dialect) -> Column:
     return {"<=": left <= right, "<": left < right, ">=": left >= right, ">": left > right}[op]
 
 
-def _scan(facts: DataFrame, pat: Pattern, dialect: Dialect, order: str | None) -> DataFrame:
-    rows = facts.where(F.col("p") == pat.p)
+def _scan(facts: DataFrame | StarStore, pat: Pattern, dialect: Dialect, order: str | None) -> DataFrame:
+    rows = by_predicate(facts, pat.p)
     out: list[Column] = []
     if pat.s.startswith("?"):
         out.append(F.col("s").alias(pat.s))
@@ -317,7 +317,7 @@ def _scan(facts: DataFrame, pat: Pattern, dialect: Dialect, order: str | None) -
     return rows.select(*out)
 
 
-def bindings(facts: DataFrame, p: Plan, dialect: Dialect = W) -> DataFrame:
+def bindings(facts: DataFrame | StarStore, p: Plan, dialect: Dialect = W) -> DataFrame:
     """One column per variable, conditions applied, before projection."""
     order = p.order[0] if p.order else None
     rest = sorted(p.patterns, key=lambda x: (x.s.startswith("?") + x.o.startswith("?"), x.compare is None))
@@ -328,7 +328,7 @@ def bindings(facts: DataFrame, p: Plan, dialect: Dialect = W) -> DataFrame:
         side = _scan(facts, nxt, dialect, order)
         df = df.join(side, [c for c in side.columns if c in df.columns and not c.startswith("_")])
     for var, begin, end, latest, earliest in p.times:
-        spans = facts.where(F.col("p").isin(begin, end)).groupBy(F.col("s").alias(var)).agg(
+        spans = by_predicate(facts, begin, end).groupBy(F.col("s").alias(var)).agg(
             F.count(F.when(F.col("p") == begin, 1)).alias("_nf"), F.min(F.when(F.col("p") == begin, as_time(F.col("lex")))).alias("_f"),
             F.count(F.when(F.col("p") == end, 1)).alias("_nt"), F.max(F.when(F.col("p") == end, as_time(F.col("lex")))).alias("_t"))
         df = df.join(spans, var, "left").where(
@@ -343,7 +343,7 @@ def bindings(facts: DataFrame, p: Plan, dialect: Dialect = W) -> DataFrame:
     return df.where(english(F.col("?x")))
 
 
-def evaluate(facts: DataFrame, sexpr: str, dialect: Dialect = W, labels: bool = True, limit: int | None = LIMIT) -> DataFrame:
+def evaluate(facts: DataFrame | StarStore, sexpr: str, dialect: Dialect = W, labels: bool = True, limit: int | None = LIMIT) -> DataFrame:
     """(x, name) of a logical form, or (n) for a COUNT; distinct, in order of x and name, at most `limit` rows.
 
     The result limit is part of the language (superlatives have none); pass None to lift it.
@@ -362,6 +362,6 @@ def evaluate(facts: DataFrame, sexpr: str, dialect: Dialect = W, labels: bool =
     x = df.select(F.col("?x").alias("x")).distinct()
     if not labels:
         return x if p.order or limit is None else x.orderBy("x").limit(limit)
-    names = facts.where((F.col("p") == LABEL) & (F.col("kind") == "literal") & F.col("lang").rlike("(?i)^en(-.*)?$")).select(F.col("s").alias("x"), F.col("lex").alias("name"))
+    names = by_predicate(facts, LABEL).where((F.col("kind") == "literal") & F.col("lang").rlike("(?i)^en(-.*)?$")).select(F.col("s").alias("x"), F.col("lex").alias("name"))
     out = x.join(names, "x", "left").distinct()
     return out if p.order or limit is None else out.orderBy("x", "name").limit(limit)

@@ -9,7 +9,7 @@ from lodestone.functions import text as tx
 from lodestone.functions import validators as vd
 from lodestone.plans.logical_form import W, PlanError, evaluate, plan
 from lodestone.session import table
-from lodestone.sources.triples import STAR_SQL, star_facts
+from lodestone.sources.triples import STAR_SQL, StarStore
 
 C = F.col
 
@@ -38,7 +38,7 @@ _EXECUTED = {"(JOIN customer.customer.nation m.n3)": "ok", "(JOIN customer.custo
 
 def _executions(s: SparkSession, d: str) -> DataFrame:
     """(form, status): whether a form has between 1 and 500 answers; no more than 501 are counted."""
-    facts, out = star_facts(s, d), None
+    facts, out = StarStore(s, d), None
     for form in _EXECUTED:
         n = evaluate(facts, form, W, labels=False, limit=501).agg(F.count("*").alias("n"))
         part = n.select(F.lit(form).alias("form"), F.when(C("n") == 0, "empty").when(C("n") > 500, "too_many").otherwise("ok").alias("status"))

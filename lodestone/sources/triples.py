@@ -73,16 +73,40 @@ def _select(row: tuple, source: str) -> str:
     return f"SELECT {s} AS s, '{p}' AS p, '{kind}' AS kind, {lex} AS lex, {dt} AS dtype, {lg} AS lang FROM {source} WHERE {cond}"
 
 
+def by_predicate(facts: DataFrame | StarStore, *predicates: str) -> DataFrame:
+    """The facts of some predicates, from a table of facts or a store that knows where each predicate lies."""
+    return facts.by(*predicates) if isinstance(facts, StarStore) else facts.where(F.col("p").isin(*predicates))
+
+
+class StarStore:
+    """The star-schema tables as facts. A plan is made of the branches that can hold its predicates only."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+        self._tables: dict[str, DataFrame] = {}
+
+    def _branch(self, row: tuple) -> DataFrame:
+        name, s, p, kind, lex, dtype, lang, cond = row
+        if name not in self._tables:
+            self._tables[name] = table(self.spark, self.sf_dir, name)
+        text = lambda x: F.lit(x).cast("string")
+        part = self._tables[name].where(cond).select(F.expr(s).alias("s"), F.lit(p).alias("p"), F.lit(kind).alias("kind"), F.expr(lex.replace("VARCHAR(30)", "STRING")).alias("lex"), text(XSD + dtype if dtype else None).alias("dtype"), text(lang).alias("lang"))
+        return part.select("s", "p", term(F.col("kind"), F.col("lex"), F.col("dtype"), F.col("lang")).alias("o"), "kind", "lex", "dtype", "lang")
+
+    def by(self, *predicates: str) -> DataFrame:
+        rows = [r for r in _STAR if not predicates or r[2] in predicates]
+        if not rows:
+            return self._branch(_STAR[0]).where("false")
+        parts = [self._branch(r) for r in rows]
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionAll(part)
+        return out
+
+
 def star_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The star-schema tables as facts. A filter on p leaves only the branches that can hold it."""
-    tables = {name: table(spark, sf_dir, name) for name in {row[0] for row in _STAR}}
-    parts = None
-    for name, s, p, kind, lex, dtype, lang, cond in _STAR:
-        as_string = lambda x: F.lit(x).cast("string")
-        lex = lex.replace("VARCHAR(30)", "STRING")
-        part = tables[name].where(cond).select(F.expr(s).alias("s"), F.lit(p).alias("p"), F.lit(kind).alias("kind"), F.expr(lex).alias("lex"), as_string(XSD + dtype if dtype else None).alias("dtype"), as_string(lang).alias("lang"))
-        parts = part if parts is None else parts.unionAll(part)
-    return parts.select("s", "p", term(F.col("kind"), F.col("lex"), F.col("dtype"), F.col("lang")).alias("o"), "kind", "lex", "dtype", "lang")
+    """All facts of the star-schema tables."""
+    return StarStore(spark, sf_dir).by()
 
 
 _TERM_SQL = """CASE WHEN kind = 'literal' THEN '"' || lex || '"' || coalesce('^^' || dtype, '') || coalesce('@' || lang, '') ELSE lex END"""
