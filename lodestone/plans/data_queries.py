@@ -202,7 +202,7 @@ def queries() -> dict:
         "d02_select_mask": lambda s, d: batch(s, d).where(C("x") > 0),
         "d03_slice": lambda s, d: b.sliced(batch(s, d), 10, 1000, 7),
         "d04_union_columns": _cols,
-        "d05_concat": lambda s, d: b.concat(batch(s, d), batch(s, d).where("idx < 10")),
+        "d05_concat": lambda s, d: b.concat(batch(s, d), batch(s, d).where("x > 0")),
         "d06_repeat_interleave": lambda s, d: b.repeated(batch(s, d), 3),
         "d06_repeat_stack": lambda s, d: b.repeated(batch(s, d), 3, interleave=False),
         "d07_repeat_each": lambda s, d: b.repeated_each(batch(s, d), (C("idx") % 3).cast("int")).select("idx", "rep"),
@@ -212,7 +212,7 @@ def queries() -> dict:
         "d09_unpad": lambda s, d: b.unpadded(b.padded(batch(s, d), 32), 4),
         "d10_reorder": lambda s, d: b.reordered(batch(s, d), F.lit(10_000_000) - C("idx")),
         "d11_fold": lambda s, d: b.folded(batch(s, d), 4, "x", "g").select("idx", F.array_join("g", ",").alias("g")),
-        "d11_unfold": lambda s, d: b.unfolded(b.folded(batch(s, d).where("idx < 1000"), 4, "x", "g"), 4, "x", "g"),
+        "d11_unfold": lambda s, d: b.unfolded(b.folded(batch(s, d), 4, "x", "g"), 4, "x", "g"),
         "d12_mini_batches": lambda s, d: b.mini_batches(batch(s, d), 64, 7, 2).select("idx", "epoch", "batch"),
         "d13_balanced": lambda s, d: b.balanced(_lens(s, d), "batch", "len", 8),
         "d13_greedy_spread": _greedy,
@@ -309,7 +309,7 @@ def oracle_sql() -> dict[str, str]:
         "d02_select_mask": w + "SELECT * FROM b WHERE x > 0",
         "d03_slice": w + "SELECT * FROM b WHERE idx >= 10 AND idx < 1000 AND (idx - 10) % 7 = 0",
         "d04_union_columns": w + "SELECT idx, x, g, x * 2 AS y FROM b",
-        "d05_concat": w + "SELECT * FROM b UNION ALL SELECT idx + n, x, g FROM b, n WHERE idx < 10",
+        "d05_concat": w + "SELECT * FROM b UNION ALL SELECT idx + n, x, g FROM b, n WHERE x > 0",
         "d06_repeat_interleave": w + "SELECT idx * 3 + k AS idx, x, g FROM b, (SELECT unnest(range(3)) AS k)",
         "d06_repeat_stack": w + "SELECT k * n + idx AS idx, x, g FROM b, n, (SELECT unnest(range(3)) AS k)",
         "d07_repeat_each": w + "SELECT idx, unnest(range(idx % 3))::INT AS rep FROM b",
@@ -319,7 +319,7 @@ def oracle_sql() -> dict[str, str]:
         "d09_unpad": w + ", p AS (SELECT idx, x, g FROM b UNION ALL SELECT idx + n, x, g FROM b, n WHERE idx < (32 - n % 32) % 32) SELECT * FROM p WHERE idx < (SELECT count(*) FROM p) - 4",
         "d10_reorder": w + "SELECT 10000000 - idx AS idx, x, g FROM b",
         "d11_fold": w + "SELECT idx // 4 AS idx, string_agg(g, ',' ORDER BY b.idx) AS g FROM b GROUP BY b.idx // 4",
-        "d11_unfold": w + "SELECT idx, x, g FROM b WHERE idx < 1000",
+        "d11_unfold": w + "SELECT idx, x, g FROM b",
         "d13_greedy_spread": f"""WITH RECURSIVE {_L}, o AS (SELECT batch, len, row_number() OVER (PARTITION BY batch ORDER BY idx) AS k FROM l), g AS (SELECT batch, 0::BIGINT AS k, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[] AS t FROM (SELECT DISTINCT batch FROM l)
 UNION ALL SELECT g.batch, o.k, list_transform(t, lambda v, i: v + CASE WHEN i = list_position(t, list_min(t)) THEN o.len ELSE 0 END) FROM g JOIN o ON o.batch = g.batch AND o.k = g.k + 1)
 SELECT batch, CASE WHEN k >= 8 THEN list_max(t) - list_min(t) ELSE list_max(t[:k]) - list_min(t[:k]) END AS spread FROM g WHERE k = (SELECT max(k) FROM o WHERE o.batch = g.batch)""",
