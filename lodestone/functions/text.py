@@ -177,3 +177,41 @@ def candidate_entities(prompt: Column) -> Column:
     inner = F.regexp_extract(prompt, r"(?s)(?:Candidate Entities|Entities):\s*\[(.*?)\]", 1)
     pair = r"'([^']+)'\s*\(([^)]+)\)"
     return F.transform(F.arrays_zip(F.regexp_extract_all(inner, F.lit(pair), F.lit(1)).alias("a"), F.regexp_extract_all(inner, F.lit(pair), F.lit(2)).alias("b")), lambda p: F.struct(p.a.alias("name"), p.b.alias("id")))
+
+
+NUMBER = r"(-?[0-9.,]+)"
+
+
+def number_answer(x: Column, strict: bool) -> Column:
+    """The number an output gives as its result: after the last "####" if strict, else the last one that isn't a mere point.
+
+    Only the last 300 characters count. Thousands separators go if strict. Null if there is none.
+    """
+    tail = F.right(x, F.lit(300))
+    if strict:
+        return F.replace(F.try_element_at(F.regexp_extract_all(tail, F.lit("#### " + NUMBER), F.lit(1)), F.lit(-1)), F.lit(","), F.lit(""))
+    found = F.regexp_extract_all(tail, F.lit(NUMBER), F.lit(1))
+    real = F.filter(found, lambda v: v != ".")
+    return F.coalesce(F.try_element_at(real, F.lit(-1)), F.try_element_at(found, F.lit(1)))
+
+
+def boxed_answer(x: Column) -> Column:
+    """Content of the last \\boxed{...}, whose braces may nest three deep; null without one."""
+    inner = r"[^{}]*"
+    for _ in range(3):
+        inner = r"(?:[^{}]|\{" + inner + r"\})*"
+    return F.try_element_at(F.regexp_extract_all(x, F.lit(r"\\boxed\s*\{(" + inner + r")\}"), F.lit(1)), F.lit(-1))
+
+
+# Rewritings that make two writings of one mathematical value equal, in order.
+MATH_FORMS = [
+    (r"\n|\\!|\\left|\\right|\^\{?\\circ\}?|\\\$|\\?%", ""), (r"\\[td]frac", r"\\frac"), (r"\\text\{ .*$", ""), (r"^\.", "0."), (r"([ {])\.", "${1}0."), (r"^[^=]{0,2}=([^=]*)$", "$1"), (r"\\sqrt(\w)", r"\\sqrt{$1}"),
+    (r"\s+", ""), (r"\\frac(\d)(\d)", r"\\frac{$1}{$2}"), (r"\\frac(\d)\{", r"\\frac{$1}{"), (r"^0\.5$", r"\\frac{1}{2}"), (r"^(-?\d+)/(-?\d+)$", r"\\frac{$1}{$2}"),
+]
+
+
+def math_normal(x: Column) -> Column:
+    """A mathematical answer in one writing of several equal ones."""
+    for pattern, by in MATH_FORMS:
+        x = F.regexp_replace(x, pattern, by)
+    return x

@@ -382,6 +382,41 @@ def bootstrap_groups(df: DataFrame, keys: list[str], most: int = 512) -> DataFra
     return counts.groupBy(*keys).applyInPandas(one, schema)
 
 
+def bootstrap_majority(df: DataFrame, keys: list[str], draws: int = 1000, seed: int = 42) -> DataFrame:
+    """(keys, n, metric, value): mean and deviation, over seeded resamples of 2, 4, ... and all responses of a group, of the score that
+    the most frequent vote has first. df: keys, vote, val. Equal votes go to the one drawn first.
+
+    Responses of a group with the same vote and score are one weighted entry, so what a task holds grows with the different
+    ones only.
+    """
+    counts = df.groupBy(*keys, "vote", "val").agg(F.count("*").alias("c"))
+    schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys) + ", n long, metric string, value double"
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["vote", "val"])
+        code, val, ends = pd.factorize(pdf["vote"])[0], pdf["val"].to_numpy(float), np.cumsum(pdf["c"].to_numpy(np.int64))
+        total, out, n = int(ends[-1]), [], 2
+        while total > 1:
+            n = min(n, total)
+            rng = np.random.RandomState(seed)
+            got = np.empty(draws)
+            for i in range(draws):
+                at = np.searchsorted(ends, rng.randint(0, total, min(n, 4096)), side="right")
+                votes, first, times = np.unique(code[at], return_index=True, return_counts=True)
+                best = first[times == times.max()].min()
+                got[i] = val[at[best]]
+            out += [(total, f"maj@{n}/mean", float(got.mean())), (total, f"maj@{n}/std", float(got.std()))]
+            if n == total:
+                break
+            n *= 2
+        res = pd.DataFrame(out, columns=["n", "metric", "value"])
+        for i, k in enumerate(keys):
+            res.insert(i, k, pdf[k].iloc[0])
+        return res
+
+    return counts.groupBy(*keys).applyInPandas(one, schema)
+
+
 def majority(df: DataFrame, keys: list[str], vote: str, val: str, order: str) -> DataFrame:
     """(keys, vote, n, value): the most frequent vote of a group, the one seen first among equals, with its first value."""
     per = df.groupBy(*keys, vote).agg(F.count("*").alias("n"), F.min(F.struct(order, val)).alias("first"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.plans import functions_list
-from lodestone.plans.logical_form import G, LIMIT, PlanError, W, evaluate, opposite, plan
+from lodestone.plans.logical_form import G, PlanError, W, evaluate, linearise, opposite, parse, plan
 from lodestone.sources.triples import STAR_SQL, StarStore, by_predicate
 from lodestone.session import table
 
@@ -144,6 +144,14 @@ def trace(s: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def programs(text: str | None) -> list[str]:
+    """Sub-programs of a form, in the order they are numbered; none if it doesn't parse."""
+    try:
+        return [" ".join(f"({' '.join(a)})" if isinstance(a, list) else a for a in p) for p in linearise(parse(text or ""))]
+    except PlanError:
+        return []
+
+
 def _mapped(fn, kind: T.DataType):
     """A batch function as a pandas UDF; used only where a fold over a list has no expression."""
     return F.pandas_udf(lambda s: s.map(fn), kind)
@@ -169,6 +177,7 @@ def queries() -> dict:
         "q12a_opposite_relation": lambda s, d: s.createDataFrame([(r, k, *opposite(r, W if k == "W" else G)) for r, k, *_ in OPPOSITES], "relation string, dialect string, begins string, ends string"),
         "q15_stop": stop,
         "q21_sexpr_shape": lambda s, d: shapes(table(s, d, "qa_samples")),
+        "q22_linearised": lambda s, d: table(s, d, "qa_samples").select("sample_no", F.explode(_mapped(programs, T.ArrayType(T.StringType()))("sexpr")).alias("program")),
         "q25_from_sparql": lambda s, d: table(s, d, "qa_samples").select("sample_no", _mapped(functions_list.from_sparql, T.StringType())("sparql").alias("form")),
         "q26_dialect_of_dataset": lambda s, d: table(s, d, "qa_samples").select("sample_no", F.when(F.lower("dataset") == "grailqa", "G").when(F.lower("dataset").isin("webqsp", "cwq", "graphq"), "W").alias("dialect")),
         "q27_function_list": lambda s, d: built_forms(table(s, d, "qa_samples")),

@@ -187,6 +187,7 @@ def queries() -> dict:
         "a25_data_metrics": _data_metrics,
         "a26_timing": tok(lambda df: df.agg((F.sum("score") / F.sum(ro.mask_size())).alias("per_token"), (F.sum(ro.mask_size()) / F.lit(60.0) / 8).alias("throughput"))),
         "a27_bootstrap": lambda s, d: _rounded(ro.bootstrap_groups(rollouts(s, d).select("source", "uid", C("score").alias("val")), ["source", "uid"])),
+        "a29_bootstrap_majority": lambda s, d: _rounded(ro.bootstrap_majority(rollouts(s, d).select("source", C("pred").alias("vote"), C("score").alias("val")), ["source"])),
         "a28_majority": lambda s, d: ro.majority(rollouts(s, d), ["uid"], "pred", "score", "entry_id"),
         "a29_validation": _validation,
         "a30_reduced": _reduced,

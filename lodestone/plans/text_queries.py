@@ -68,6 +68,16 @@ def _bonus_scores(s: SparkSession, d: str) -> DataFrame:
     return df.select("entry_id", _r(em).alias("em"), _r(mid).alias("mid"), c("ok").alias("valid"))
 
 
+# Pairs of mathematical answers and whether they are equal.
+MATH_PAIRS = [("\\boxed{\\dfrac{1}{2}}", "0.5", True), ("so \\boxed{\\frac12}", "1/2", True), ("\\boxed{x = 3}", "3", True), ("\\boxed{.5}", "0.5", True), ("\\boxed{\\sqrt3}", "\\sqrt{3}", True), ("\\boxed{90^\\circ}", "90", True), ("\\boxed{10\\%}", "10", True), ("\\boxed{7}", "8", False), ("no box", "8", None), ("\\boxed{\\left( 1, 2 \\right)}", "(1,2)", True), ("\\boxed{1} \\boxed{\\frac{a}{b}}", "\\frac{a}{b}", True)]
+
+
+def _math(s: SparkSession, d: str) -> DataFrame:
+    """(text, gold, same) of hand-made pairs; the tables hold no mathematics."""
+    df = s.createDataFrame([p[:2] for p in MATH_PAIRS], "text string, gold string")
+    return df.select("text", "gold", (tx.math_normal(tx.boxed_answer(C("text"))) == tx.math_normal(C("gold"))).alias("same"))
+
+
 def _mid_counters(s: SparkSession, d: str) -> DataFrame:
     return _dump(s, d).agg(F.count("*").alias("n"), F.count(tx.mid_list(C("output"))).alias("extracted"), F.sum(tx.valid_action_sequence(C("output")).cast("long")).alias("valid"))
 
@@ -162,6 +172,8 @@ def queries() -> dict:
         "t16_relevant": _on_dump(lambda: tx.relevant(C("output"), C("gts.target"), False).alias("text"), lambda: tx.relevant(C("output"), C("gts.target"), True).alias("ids"), golds=True),
         "t17_t18_bonus_scores": _bonus_scores,
         "t19_number_answers": _on_dump(lambda: F.replace(F.coalesce(F.try_element_at(F.regexp_extract_all(tx.last_answer(C("output")), F.lit(r"(-?[0-9.,]+)"), F.lit(1)), F.lit(-1)), F.lit("")), F.lit(","), F.lit("")).alias("number")),
+        "t19_number_results": lambda s, d: _dump(s, d).select("entry_id", tx.number_answer(F.concat(C("output"), F.when(C("entry_id") % 2 == 0, "#### 1,234.5").otherwise("")), True).alias("strict"), tx.number_answer(C("output"), False).alias("flexible")),
+        "t19_math_equal": _math,
         "t20_dispatch": lambda s, d: table(s, d, "qa_samples").select("sample_no", F.when(F.lower("dataset").isin("webqsp", "grailqa", "graphq", "cwq"), "mid_reward").otherwise("em").alias("reward")),
         "t21_t22_placed_scores": _placed,
         "t23_t24_actions": _actions,
@@ -285,6 +297,9 @@ SELECT entry_id, round(CASE WHEN late THEN -1.0 WHEN mids IS NULL THEN 0.0 ELSE
 SELECT entry_id, round(CASE WHEN last IS NULL THEN CASE WHEN ok THEN 0.2 + bt ELSE 0 END WHEN {_EM} THEN CASE WHEN ok THEN 1 + bt ELSE 0.8 END ELSE CASE WHEN ok THEN 0.2 + bt ELSE 0 END END, 6)::DOUBLE AS em,
  round(CASE WHEN mids IS NULL THEN CASE WHEN ok THEN 0.2 + bm ELSE 0 END WHEN ok THEN f1 + 0.2 + bm ELSE greatest(0, f1 - 0.2 + bm) END, 6)::DOUBLE AS mid, ok AS valid FROM y""",
         "t19_number_answers": w + "SELECT entry_id, replace(coalesce(regexp_extract_all(last, '(-?[0-9.,]+)', 1)[-1], ''), ',', '') AS number FROM d",
+        "t19_number_results": w + f"""SELECT entry_id, replace(regexp_extract_all(right(output || CASE WHEN entry_id % 2 = 0 THEN '#### 1,234.5' ELSE '' END, 300), '#### {tx.NUMBER}', 1)[-1], ',', '') AS strict,
+ coalesce(list_filter(regexp_extract_all(right(output, 300), '{tx.NUMBER}', 1), lambda v: v <> '.')[-1], regexp_extract_all(right(output, 300), '{tx.NUMBER}', 1)[1]) AS flexible FROM d""",
+        "t19_math_equal": "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{g}', {'NULL' if v is None else str(v).lower()})" for a, g, v in MATH_PAIRS) + ") t(text, gold, same)",
         "t20_dispatch": "SELECT sample_no, CASE WHEN lower(dataset) IN ('webqsp', 'grailqa', 'graphq', 'cwq') THEN 'mid_reward' ELSE 'em' END AS reward FROM qa_samples",
         "t21_t22_placed_scores": w + f"SELECT entry_id, {_N}::INT AS n, score + 0.0 AS total, score + 0.0 AS at_last, round(least(-({_N} - 40)::DOUBLE / 20, 0.0), 6) AS penalty FROM d WHERE score IS NOT NULL AND NOT isnan(score)",
         "t23_t24_actions": w + f""", b AS (SELECT entry_id, list_filter(list_transform(string_split({_tagged('action', 'is')}[1], chr(10)), lambda x: {_strip('x')}), lambda x: x <> '') AS ls FROM d),

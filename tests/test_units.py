@@ -175,3 +175,15 @@ def test_stream_counts_equal_batch_counts(spark, sf_dir, tmp_path):
     q.awaitTermination()
     key = lambda r: (r.start, r.event_type, r.n)
     assert sorted(map(key, spark.table("windows").collect())) == sorted(map(key, replay.windowed(events).collect()))
+
+
+def test_bootstrap_of_one_value_and_of_a_clear_majority(spark):
+    import numpy as np
+
+    assert rollout.bootstrap(np.full(5, 0.25), 3, {"max": np.max, "min": np.min}) == {"max": (0.25, 0.0), "min": (0.25, 0.0)}
+    df = spark.createDataFrame([("s", "a", 1.0)] * 9 + [("s", "b", 0.0)], "source string, vote string, val double")
+    got = {r.metric: r.value for r in rollout.bootstrap_majority(df, ["source"]).collect()}
+    assert set(got) == {f"maj@{n}/{k}" for n in (2, 4, 8, 10) for k in ("mean", "std")}
+    assert got["maj@10/mean"] > 0.99 and 0.8 < got["maj@2/mean"] < 1
+    best = {r.metric: r.value for r in rollout.bootstrap_groups(df.select("source", "val"), ["source"]).collect()}
+    assert best["best@10/mean"] > best["worst@10/mean"]
