@@ -305,7 +305,7 @@ def oracle_sql() -> dict[str, str]:
     passages = "s AS (SELECT q.vec_id AS query_id, r.vec_id AS id, list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[])) AS score FROM embeddings q, embeddings r WHERE q.vec_id % 20 = 0), t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k FROM s) WHERE k <= 3)"
     return {
         "d01_select_rename": w + "SELECT idx, x AS value FROM b",
-        "d02_select_indices": w + "SELECT p AS idx, x, g FROM (VALUES (0, 5), (1, 3), (2, 3), (3, 100), (4, 0)) t(p, i) JOIN b ON b.idx = i",
+        "d02_select_indices": w + "SELECT p::BIGINT AS idx, x, g FROM (VALUES (0, 5), (1, 3), (2, 3), (3, 100), (4, 0)) t(p, i) JOIN b ON b.idx = i",
         "d02_select_mask": w + "SELECT * FROM b WHERE x > 0",
         "d03_slice": w + "SELECT * FROM b WHERE idx >= 10 AND idx < 1000 AND (idx - 10) % 7 = 0",
         "d04_union_columns": w + "SELECT idx, x, g, x * 2 AS y FROM b",

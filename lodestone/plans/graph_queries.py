@@ -127,7 +127,7 @@ def _chosen(least: float | None, k: int) -> str:
     return f"""WITH {_DOT}, ix AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k FROM s),
 c AS (SELECT query_id, id, CASE WHEN k <= 200 THEN score ELSE 0.0 END AS score FROM ix WHERE ql = rl),
 p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM c {bar})
-SELECT query_id, id, round(score, 4) AS score, place FROM p WHERE place <= {k}"""
+SELECT query_id, id, round(score, 4) AS score, place::INT AS place FROM p WHERE place <= {k}"""
 
 
 def oracle_sql() -> dict[str, str]:

@@ -279,7 +279,7 @@ def _sql() -> dict[str, str]:
         "a18_kl_cov_loss": f"WITH {_TOK}, u AS (SELECT *, avg(adv) OVER () AS ma, avg(new) OVER () AS mn, count(*) OVER () AS c FROM t WHERE m > 0), k AS (SELECT *, row_number() OVER (ORDER BY round((adv - ma) * (new - mn), 9) DESC, event_id, i) AS p FROM u) SELECT round(sum(-adv * exp(new - old) + CASE WHEN p <= greatest(floor(c * 0.01), 1) THEN abs(new - old) ELSE 0 END) / (count(*) + 1e-8), 6) AS loss FROM k",
         "a19_value_loss": _W + f"SELECT {mean(f'0.5 * greatest((pred - returns) * (pred - returns), ({held} - returns) * ({held} - returns))')} AS loss, {mean(f'(({held} - returns) * ({held} - returns) > (pred - returns) * (pred - returns))::INT')} AS clipfrac FROM t",
         "a20_masked_stats": f"WITH {_TOK}, {_white('v', 't')} SELECT round(any_value(wm), 6) AS mean, round(sum((v - wm) * (v - wm) / (wv + 1e-8) * m), 6) AS white_squares, sum(m) AS n FROM t, w2",
-        "a21_eos_mask": _W + "SELECT event_id, i::INT AS i, (i <= coalesce(min(CASE WHEN (event_id * i) % 5 = 0 THEN i END) OVER (PARTITION BY event_id), 99))::INT AS eos FROM t",
+        "a21_eos_mask": _W + "SELECT event_id, i::INT AS i, (i <= coalesce(min(CASE WHEN (event_id * i) % 5 = 0 THEN i END) OVER (PARTITION BY event_id), 99))::INT::DOUBLE AS eos FROM t",
         "a22_importance_weights": f"WITH {is_cte} " + " UNION ALL ".join(f"SELECT '{lv}' AS level, '{md}' AS mode, event_id, i::INT AS i, round(CASE WHEN bad = 1 THEN 0.0 ELSE ({lim[md](raw[lv])}) * m END, 6)::DOUBLE AS w FROM t JOIN q USING (event_id)" for lv in raw for md in lim),
         "a23_importance_metrics": f"""WITH {is_cte}, k AS (SELECT exp(old - roll) AS x, greatest(least(exp(old - roll), {upper}), {lower}) AS c FROM t WHERE m > 0), s AS (SELECT event_id, sum(exp(old - roll) * m) / (sum(m) + 1e-8) AS s FROM t GROUP BY event_id),
  f AS (SELECT round(avg(x), 6) AS mean, round(max(x), 6) AS max, round(min(x), 6) AS min, round(avg((x > {upper})::INT), 6) AS high, round(avg((x < {lower})::INT), 6) AS low, round(sqrt(greatest(avg(c * c) - avg(c) * avg(c), 0)), 6) AS std, round(avg(c) * avg(c) / avg(c * c), 6) AS ess, {', '.join(f'round(quantile_cont(x, {p}), 6) AS p{int(p * 100)}' for p in (0.25, 0.5, 0.75, 0.95, 0.99))} FROM k),
