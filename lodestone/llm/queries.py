@@ -77,7 +77,7 @@ found AS (
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f'SELECT entry_id FROM ({_BEST}) WHERE "rank" <= 3',
-        "p1_ranked": f'SELECT * FROM ({_BEST}) WHERE "rank" <= 3',
+        "p1_ranked": f'SELECT entry_id, "rank"::INT AS "rank" FROM ({_BEST}) WHERE "rank" <= 3',
         "p3_found": _RECORDS + "SELECT keep_id, line_id FROM records WHERE line_id <> keep_id",
         "p3_copies": _RECORDS + "SELECT keep_id, count(*) AS copies FROM records GROUP BY keep_id",
         "p4_found": _OVERLAPS + "SELECT DISTINCT least(train_no, eval_no) AS a_no, greatest(train_no, eval_no) AS b_no FROM found",
