@@ -6,8 +6,30 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TAGS = ("think", "action", "information", "answer")
-# Signs of a timeout in an output.
-TIMEOUTS = r"(?i)hyt00|timeout"
+# Signs of a timeout in an output, in lower case.
+TIMEOUTS = ("hyt00", "timeout")
+
+
+def bound(x: Column, fn) -> Column:
+    """fn(x) with x computed once, however often fn uses it: x is the only element of an array that fn maps."""
+    return F.get(F.transform(F.array(x), fn), F.lit(0))
+
+
+def occurrences(x: Column, text: str) -> Column:
+    """How often text stands in x, by the length it takes; no pattern is matched."""
+    return ((F.length(x) - F.length(F.replace(x, F.lit(text), F.lit("")))) / len(text)).cast("int")
+
+
+def holds_any(x: Column, texts: tuple[str, ...]) -> Column:
+    """Whether x holds one of some lower-case texts, in any case."""
+
+    def look(low: Column) -> Column:
+        found = low.contains(texts[0])
+        for t in texts[1:]:
+            found = found | low.contains(t)
+        return found
+
+    return bound(F.lower(x), look)
 
 
 def strip(x: Column) -> Column:
@@ -48,12 +70,15 @@ def last_answer(x: Column) -> Column:
 
 def mid_list(x: Column) -> Column:
     """Values of the last answer tag: a JSON list, single quotes allowed, or else words; null without tag or values."""
-    content = strip(F.try_element_at(tagged(x, "answer", any_case=True), F.lit(-1)))
-    json = F.regexp_replace(content, "'", '"')
-    listed = content.startswith("[") & content.endswith("]")
-    parsed = F.filter(F.transform(F.from_json(json, "array<string>"), strip), lambda v: v.isNotNull() & (v != ""))
-    words = F.filter(F.split(F.when(listed, json).otherwise(content), r"\s+"), lambda v: v != "")
-    return F.when(listed & F.from_json(json, "array<string>").isNotNull(), parsed).otherwise(F.when(F.size(words) > 0, words))
+
+    def values(content: Column) -> Column:
+        listed = content.startswith("[") & content.endswith("]")
+        json = F.when(listed, F.regexp_replace(content, "'", '"'))
+        words = lambda t: F.filter(F.split(t, r"\s+"), lambda v: v != "")
+        kept = lambda p: F.filter(F.transform(p, strip), lambda v: v.isNotNull() & (v != ""))
+        return bound(F.from_json(json, "array<string>"), lambda p: F.when(p.isNotNull(), kept(p)).otherwise(bound(words(F.coalesce(json, content)), lambda w: F.when(F.size(w) > 0, w))))
+
+    return bound(strip(F.try_element_at(tagged(x, "answer", any_case=True), F.lit(-1))), values)
 
 
 def prf(gold: Column, pred: Column) -> Column:
@@ -84,25 +109,31 @@ def encoded(x: Column, middle: str = "action") -> Column:
 _C = r"[^\x01-\x08]*"
 ACTION_GRAMMAR = rf"^\s*\x01{_C}\x02\s*(?:\x03{_C}\x04\s*\x05{_C}\x06{_C}\x01{_C}\x02\s*)*(?:\x03{_C}\x04\s*\x05{_C}\x06{_C})?\x07{_C}\x08\s*$"
 SPARQL_GRAMMAR = rf"^\s*(?:\x01{_C}\x02\s*\x03{_C}\x04\s*\x05{_C}\x06\s*)+\x07{_C}\x08\s*$"
-MARKER = r"(?s)^.*?<\|im_start\|>assistant\s*"
+MARKER = "<|im_start|>assistant"
+
+
+def after_marker(x: Column) -> Column:
+    """x after its first assistant marker; x as it is without one."""
+    at = F.locate(MARKER, x)
+    return F.when(at > 0, F.substr(x, at + len(MARKER))).otherwise(x)
 
 
 def valid_action_sequence(x: Column) -> Column:
     """think, then rounds of action, information and think, then answer, which may follow a thought or an information; free
     text is allowed inside tags and after information. Text up to an assistant marker is skipped."""
-    return encoded(F.regexp_replace(x, MARKER, "")).rlike(ACTION_GRAMMAR)
+    return encoded(after_marker(x)).rlike(ACTION_GRAMMAR)
 
 
 def valid_sparql_sequence(x: Column) -> Column:
     """Rounds of think, sparql and information, then answer; a marker is required and no text is allowed between tags."""
-    return x.rlike(r"<\|im_start\|>assistant") & encoded(F.regexp_replace(x, MARKER, ""), "sparql").rlike(SPARQL_GRAMMAR)
+    return x.contains(MARKER) & encoded(after_marker(x), "sparql").rlike(SPARQL_GRAMMAR)
 
 
 def tag_balance(x: Column) -> Column:
     """Sum over the tags of 1 if balanced, 0.5 if both kinds occur, 0.2 if one does, 0 if none."""
     total = F.lit(0.0)
     for t in TAGS:
-        a, b = F.regexp_count(x, F.lit(f"<{t}>")), F.regexp_count(x, F.lit(f"</{t}>"))
+        a, b = occurrences(x, f"<{t}>"), occurrences(x, f"</{t}>")
         total = total + F.when((a > 0) & (b > 0), F.when(a == b, 1.0).otherwise(0.5)).when((a > 0) | (b > 0), 0.2).otherwise(0.0)
     return total
 
@@ -118,7 +149,7 @@ def mid_reward(x: Column, gold: Column, mids: Column, structure: float = 0.1, pe
     fmt = F.when(f1 > 0, F.when(valid_action_sequence(x), F.lit(structure)).otherwise(partial_format_reward(x, structure))).otherwise(0.0)
     make = lambda t, f, s, p: F.struct(t.alias("total"), f.alias("mid_f1"), s.alias("structure_reward"), p.alias("timeout_penalty"))
     zero = F.lit(0.0)
-    return F.when(x.rlike(TIMEOUTS), make(F.lit(penalty), zero, zero, F.lit(penalty))).when(mids.isNull(), make(zero, zero, zero, zero)).otherwise(make(f1 + fmt, f1, fmt, zero))
+    return F.when(holds_any(x, TIMEOUTS), make(F.lit(penalty), zero, zero, F.lit(penalty))).when(mids.isNull(), make(zero, zero, zero, zero)).otherwise(make(f1 + fmt, f1, fmt, zero))
 
 
 def token_f1(pred: Column, gold: Column) -> Column:

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lodestone.functions.terms import MID_LOOSE, NUMBER  # noqa: F401
+from lodestone.functions.terms import MID_LOOSE
+from lodestone.functions.text import bound, holds_any, occurrences, strip
 
 # Operators of the logical form language and its bounds.
 OPERATORS = ("JOIN", "AND", "ARGMAX", "ARGMIN", "COUNT", "TC", "le", "ge", "lt", "gt", "R")
 MOST_LENGTH, MOST_DEPTH, MOST_JOINS, MOST_ANDS, MOST_CHAIN = 1000, 10, 5, 3, 3
-TIMEOUT = r"(?i)hyt00|cl066|timeout"
+TIMEOUTS = ("hyt00", "cl066", "timeout")
 RELATION = r"^\w+\.\w+\.\w+$"
 # Properties too common to be asked for without a constant.
 COMMON = ("rdfs:label", "rdf:type", "type.object.type", "type.object.name")
@@ -92,7 +93,7 @@ def join_literal_ok(x: Column) -> Column:
 
 
 def timeout(x: Column) -> Column:
-    return x.rlike(TIMEOUT)
+    return holds_any(x, TIMEOUTS)
 
 
 def is_math(x: Column) -> Column:
@@ -118,22 +119,28 @@ def empty_result(x: Column) -> Column:
 TAGS = ("think", "action", "information", "answer")
 
 
-def most_repeated(words: Column) -> Column:
-    """How often the most frequent word occurs, by one pass over the sorted words."""
-    zero = F.struct(F.lit("").alias("w"), F.lit(0).alias("n"), F.lit(0).alias("most"))
-    step = lambda a, w: F.struct(w.alias("w"), F.when(w == a.w, a.n + 1).otherwise(1).alias("n"), F.greatest(a.most, F.when(w == a.w, a.n + 1).otherwise(1)).alias("most"))
-    return F.aggregate(F.array_sort(words), zero, step).most
+def repeats_beyond(words: Column, share: float) -> Column:
+    """Whether one word makes up more than `share` of the words. Such a word's run in the sorted words covers a multiple of
+    share times their number, so only the words at these few places are counted."""
+
+    def look(s: Column) -> Column:
+        step = F.greatest(F.floor(F.size(s) * share).cast("int"), F.lit(1))
+        return F.exists(F.sequence(step, F.greatest(F.size(s), step), step), lambda i: F.size(s) - F.size(F.array_remove(s, F.get(s, i - 1))) > F.size(s) * share)
+
+    return bound(F.sort_array(words), look)
 
 
 def rollout_errors(x: Column) -> Column:
     """Names of the error patterns of an output."""
-    t = F.regexp_replace(x, r"^\s+|\s+$", "")
-    words = F.filter(F.split(t, r"\s+"), lambda w: w != "")
-    tags = [(F.regexp_count(x, F.lit(f"<{g}>")) != F.regexp_count(x, F.lit(f"</{g}>")), f"unbalanced_{g}_tags") for g in TAGS]
-    return _found(
-        *tags, (x.contains("<answer></answer>") | x.contains("<answer> </answer>"), "empty_answer"), (t.endswith("<") | t.endswith("("), "incomplete_sequence"),
-        (F.regexp_count(x, F.lit(r"\(")) != F.regexp_count(x, F.lit(r"\)")), "unbalanced_parentheses"), (F.length(t) < 10, "too_short_response"),
-        ((F.size(words) > 5) & (most_repeated(words) > F.size(words) * 0.3), "excessive_repetition"))
+    tags = [(occurrences(x, f"<{g}>") != occurrences(x, f"</{g}>"), f"unbalanced_{g}_tags") for g in TAGS]
+
+    def look(t: Column) -> Column:
+        repeats = bound(F.filter(F.split(t, r"\s+"), lambda w: w != ""), lambda w: (F.size(w) > 5) & repeats_beyond(w, 0.3))
+        return _found(
+            *tags, (x.contains("<answer></answer>") | x.contains("<answer> </answer>"), "empty_answer"), (t.endswith("<") | t.endswith("("), "incomplete_sequence"),
+            (occurrences(x, "(") != occurrences(x, ")"), "unbalanced_parentheses"), (F.length(t) < 10, "too_short_response"), (repeats, "excessive_repetition"))
+
+    return bound(strip(x), look)
 
 
 def rollout_errors_sql(x: str) -> str:

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import strip
+from lodestone.functions.text import bound, strip
 
 C = F.col
 # What each function is called as an action, and its comparison modes in words.
@@ -122,7 +122,8 @@ def message_parts(x: Column) -> Column:
     kept = F.filter(F.transform(parts, strip), lambda p: p != "")
     tool = lambda p: p.rlike(r"(?is)^<information>.*</information>$")
     made = F.transform(kept, lambda p: F.struct(F.when(tool(p), "tool").otherwise("assistant").alias("role"), p.alias("content"), F.when(tool(p), 0).otherwise(1).alias("loss_mask")))
-    return F.when(F.size(made) > 0, made).otherwise(F.array(F.struct(F.lit("assistant").alias("role"), F.coalesce(x, F.lit("")).alias("content"), F.lit(1).alias("loss_mask"))))
+    alone = F.array(F.struct(F.lit("assistant").alias("role"), F.coalesce(x, F.lit("")).alias("content"), F.lit(1).alias("loss_mask")))
+    return bound(made, lambda m: F.when(F.size(m) > 0, m).otherwise(alone))
 
 
 def sft_records(entries: DataFrame) -> DataFrame:

@@ -48,7 +48,8 @@ def mask_size(mask: str = "m") -> Column:
 
 def reverse_scan(fn: Callable[[Column, Column], Column], items: Column, zero: Column, out: Callable[[Column], Column]) -> Column:
     """Outputs of a recurrence from the last element to the first, in the order of the elements. fn(state, element) -> state."""
-    step = lambda acc, x: F.struct(fn(acc.s, x).alias("s"), F.concat(acc.o, F.array(out(fn(acc.s, x)))).alias("o"))
+    # the new state is bound once, as the only element of an array
+    step = lambda acc, x: F.get(F.transform(F.array(fn(acc.s, x)), lambda s: F.struct(s.alias("s"), F.concat(acc.o, F.array(out(s))).alias("o"))), F.lit(0))
     return F.reverse(F.aggregate(F.reverse(items), F.struct(zero.alias("s"), F.array().cast("array<double>").alias("o")), step).o)
 
 
@@ -104,16 +105,15 @@ def gpg(df: DataFrame, f_norm: float = 1.0) -> DataFrame:
 # Token estimators: rows with arrays -> array adv.
 def whitened(df: DataFrame, array: str, keep_outside: bool = False) -> DataFrame:
     """array minus its masked mean over all tokens, by its masked standard deviation (unbiased)."""
-    sums = df.select(mask_size().alias("n"), masked_sum(array).alias("s")).agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    mean = sums.select((C("s") / (C("n") + 1e-8)).alias("_wm"), C("n").alias("_wn"), F.lit(1).alias("_one"))
-    d = df.withColumn("_one", F.lit(1)).join(F.broadcast(mean), "_one")
-    sq = d.withColumn("_sq", masked_sum(F.transform(array, lambda x: (x - C("_wm")) * (x - C("_wm")))))
-    var = sq.agg(F.sum("_sq").alias("q"), F.max("_wn").alias("n")).select((C("q") / (C("n") + 1e-8) * C("n") / (C("n") - 1)).alias("_wv"), F.lit(1).alias("_one"))
-    d = d.join(F.broadcast(var), "_one")
+    rows = df.select(mask_size().alias("n"), masked_sum(array).alias("s"), masked_sum(F.transform(array, lambda x: x * x)).alias("q"))
+    total = rows.agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")).select("n", "s", "q", (C("s") / (C("n") + 1e-8)).alias("_wm"))
+    spread = F.greatest(C("q") - 2 * C("_wm") * C("s") + C("n") * C("_wm") * C("_wm"), F.lit(0.0))
+    moments = total.select("_wm", (spread / (C("n") + 1e-8) * C("n") / (C("n") - 1)).alias("_wv"), F.lit(1).alias("_one"))
+    d = df.withColumn("_one", F.lit(1)).join(F.broadcast(moments), "_one")
     out = F.transform(array, lambda x: (x - C("_wm")) / F.sqrt(C("_wv") + WHITEN_EPS))
     if not keep_outside:
         out = F.zip_with(out, C("m"), lambda x, k: x * k)
-    return d.withColumn(array, out).drop("_one", "_wm", "_wn", "_wv")
+    return d.withColumn(array, out).drop("_one", "_wm", "_wv")
 
 
 def reinforce_baseline(df: DataFrame) -> DataFrame:

@@ -103,8 +103,10 @@ def test_mid_list_and_f1(spark):
 
 
 def test_rollout_errors_of_repetition(spark):
-    r = one(spark, x="a a a b c d").select(vd.rollout_errors(F.col("x")).alias("e"), vd.most_repeated(F.split("x", " ")).alias("n")).first()
-    assert r.e == ["excessive_repetition"] and r.n == 3
+    r = one(spark, x="a a a b c d").select(vd.rollout_errors(F.col("x")).alias("e")).first()
+    assert r.e == ["excessive_repetition"]
+    for text, share, beyond in (("b a b c b", 0.59, True), ("b a b c b", 0.6, False), ("a b c d e f g h i z z z", 0.2, True), ("a b c d", 0.25, False), ("a", 0.5, True)):
+        assert one(spark, x=text).select(vd.repeats_beyond(F.split("x", " "), share).alias("v")).first().v is beyond
 
 
 def test_eos_masks_of_the_documentation(spark):
