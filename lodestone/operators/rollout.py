@@ -348,7 +348,8 @@ def bootstrap_groups(df: DataFrame, keys: list[str], most: int = 512) -> DataFra
     """(keys, n, metric, value): best and worst of subsets of 2, 4, ... and all values of each group.
 
     A group is held as a histogram of its values with counts, which resampling needs no more than: an unbounded group with few
-    different scores stays small. Groups with more than `most` different values are resampled from `most` equal quantiles.
+    different scores stays small. The largest of n draws lies at the quantile U ** (1 / n), the smallest at 1 - U ** (1 / n), with U
+    uniform: a resample is drawn exactly at the cost of one draw, whatever n is. Groups with more than `most` different values are resampled from `most` equal quantiles.
     """
     counts = df.groupBy(*keys, "val").agg(F.count("*").alias("c"))
     schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys) + ", n long, metric string, value double"
@@ -365,11 +366,9 @@ def bootstrap_groups(df: DataFrame, keys: list[str], most: int = 512) -> DataFra
             n = 2
             while True:
                 n = min(n, total)
-                rng = np.random.RandomState(42)
-                draws = rng.rand(1000, min(n, 4096))
-                at = np.searchsorted(ends, (draws * total).astype(np.int64), side="right")
-                got = v[np.minimum(at, len(v) - 1)]
-                for name, red in (("best", got.max(axis=1)), ("worst", got.min(axis=1))):
+                u = np.random.RandomState(42).rand(2, 1000) ** (1 / n)
+                for name, place in (("best", u[0]), ("worst", 1 - u[1])):
+                    red = v[np.searchsorted(ends, place * total)]
                     out += [(total, f"{name}@{n}/mean", float(red.mean())), (total, f"{name}@{n}/std", float(red.std()))]
                 if n == total:
                     break
@@ -382,29 +381,45 @@ def bootstrap_groups(df: DataFrame, keys: list[str], most: int = 512) -> DataFra
     return counts.groupBy(*keys).applyInPandas(one, schema)
 
 
+def _most_frequent(rng: np.random.RandomState, n: int, each: np.ndarray, draws: int) -> np.ndarray:
+    """The most frequent vote of each of `draws` resamples of n responses; each[i] responses have vote i. Equal votes have equal chances.
+    The counts are drawn at once, or where there are more votes than draws, one by one."""
+    won, k, upto = np.empty(draws, np.int64), len(each), np.cumsum(each)
+    if n < k:
+        for i in range(draws):
+            votes, times = np.unique(np.searchsorted(upto, rng.randint(0, upto[-1], n), side="right"), return_counts=True)
+            won[i] = rng.choice(votes[times == times.max()])
+        return won
+    rows = max(1, (1 << 18) // k)
+    for i in range(0, draws, rows):
+        times = rng.multinomial(n, each / upto[-1], size=min(rows, draws - i))
+        tied = np.cumsum(times == times.max(axis=1, keepdims=True), axis=1)
+        won[i : i + rows] = (tied > rng.randint(0, tied[:, -1])[:, None]).argmax(axis=1)
+    return won
+
+
 def bootstrap_majority(df: DataFrame, keys: list[str], draws: int = 1000, seed: int = 42) -> DataFrame:
     """(keys, n, metric, value): mean and deviation, over seeded resamples of 2, 4, ... and all responses of a group, of the score that
     the most frequent vote has first. df: keys, vote, val. Equal votes go to the one drawn first.
 
     Responses of a group with the same vote and score are one weighted entry, so what a task holds grows with the different
-    ones only.
+    ones only. Of a resample only the counts of its votes are drawn. Given these, its order is a random permutation: each of the
+    votes that are equal in number is first with the same chance, and the first score of a vote is any of its scores.
     """
     counts = df.groupBy(*keys, "vote", "val").agg(F.count("*").alias("c"))
     schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys) + ", n long, metric string, value double"
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["vote", "val"])
-        code, val, ends = pd.factorize(pdf["vote"])[0], pdf["val"].to_numpy(float), np.cumsum(pdf["c"].to_numpy(np.int64))
+        code, val, ends = pd.factorize(pdf["vote"], use_na_sentinel=False)[0], pdf["val"].to_numpy(float), np.cumsum(pdf["c"].to_numpy(np.int64))
+        upto = ends[np.append(np.flatnonzero(np.diff(code)), len(code) - 1)]
+        each = np.diff(upto, prepend=0)
         total, out, n = int(ends[-1]), [], 2
         while total > 1:
             n = min(n, total)
             rng = np.random.RandomState(seed)
-            got = np.empty(draws)
-            for i in range(draws):
-                at = np.searchsorted(ends, rng.randint(0, total, min(n, 4096)), side="right")
-                votes, first, times = np.unique(code[at], return_index=True, return_counts=True)
-                best = first[times == times.max()].min()
-                got[i] = val[at[best]]
+            won = _most_frequent(rng, n, each, draws)
+            got = val[np.searchsorted(ends, upto[won] - each[won] + rng.randint(0, each[won]), side="right")]
             out += [(total, f"maj@{n}/mean", float(got.mean())), (total, f"maj@{n}/std", float(got.std()))]
             if n == total:
                 break

@@ -189,3 +189,31 @@ def test_bootstrap_of_one_value_and_of_a_clear_majority(spark):
     assert got["maj@10/mean"] > 0.99 and 0.8 < got["maj@2/mean"] < 1
     best = {r.metric: r.value for r in rollout.bootstrap_groups(df.select("source", "val"), ["source"]).collect()}
     assert best["best@10/mean"] > best["worst@10/mean"]
+
+
+def test_bootstrap_draws_as_many_as_its_label_says(spark):
+    """Exact chances: a vote of 50.5% of 20,000 wins 20,000 draws with 0.921 (4,096 draws: 0.739), one response in 20,000 is drawn with 0.632 (0.185)."""
+    df = spark.range(20000).selectExpr("'s' AS source", "IF(id < 10100, 'a', 'b') AS vote", "IF(id < 10100, 1D, 0D) AS val")
+    got = {r.metric: r.value for r in rollout.bootstrap_majority(df, ["source"]).collect()}
+    assert abs(got["maj@20000/mean"] - 0.921) < 0.035 and abs(got["maj@2/mean"] - 0.505) < 0.06
+    rare = spark.range(20000).selectExpr("'s' AS source", "IF(id = 7, 1D, IF(id = 8, -1D, 0D)) AS val")
+    best = {r.metric: r.value for r in rollout.bootstrap_groups(rare, ["source"]).collect()}
+    assert abs(best["best@20000/mean"] - 0.632) < 0.06 and abs(best["worst@20000/mean"] + 0.632) < 0.06
+
+
+def test_most_frequent_vote_is_the_same_both_ways():
+    """Few draws of many votes are drawn one by one, the rest as counts: both as often as an enumeration says."""
+    import itertools
+    from collections import Counter
+
+    import numpy as np
+
+    each = np.array([3, 2, 1, 1])
+    for n in (3, 4):
+        want: Counter = Counter()
+        for at in itertools.product([0, 0, 0, 1, 1, 2, 3], repeat=n):
+            times = Counter(at)
+            tied = [v for v, c in times.items() if c == max(times.values())]
+            want.update({v: 1 / len(tied) / 7**n for v in tied})
+        got = Counter(rollout._most_frequent(np.random.RandomState(1), n, each, 20000).tolist())
+        assert all(abs(got[v] / 20000 - want[v]) < 0.015 for v in range(4))
