@@ -160,10 +160,13 @@ def _stats(s: SparkSession, d: str) -> DataFrame:
     return df.groupBy("step", F.floor(C("mid_f1") * 10).cast("int").alias("bin")).agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set(F.round("mid_f1", 2).cast("string"))), " ").alias("seen"))
 
 
-def _passages(s: SparkSession, d: str) -> DataFrame:
+def _passages(s: SparkSession, d: str, chars: int | None = None) -> DataFrame:
+    """The three hits of each query in order, with their whole text; chars: with its first characters only."""
     rows = table(s, d, "embeddings").select(C("vec_id").alias("id"), C("embedding").alias("v"))
     top = vectors.scores(rows, rows.where("id % 20 = 0"), 3)
-    docs = table(s, d, "documents").select(C("doc_id").alias("id"), F.substring(F.coalesce("text", F.lit("")), 1, 40).alias("t"))
+    docs = table(s, d, "documents").select(C("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("t"))
+    if chars is not None:
+        docs = docs.withColumn("t", F.substring("t", 1, chars))
     joined = top.join(docs, "id").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct((-C("score")).alias("k"), "id", "t"))).alias("r"))
     return joined.select("query_id", F.array_join(F.transform("r", lambda x, i: F.concat(F.lit("Doc "), (i + 1).cast("string"), F.lit(": "), x.t)), "\n").alias("passages"))
 
@@ -249,7 +252,8 @@ def queries() -> dict:
         "io13_from_previous": _previous,
         "io14_metrics_file": _metrics_sink,
         "io15_appended": lambda s, d: _qa(s, d).where("split = 'dev'").select("sample_no", "split").unionByName(_qa(s, d).where("split = 'test'").select("sample_no", F.lit("generated").alias("split"))),
-        "io16_passages": _passages,
+        "io16_passages": lambda s, d: _passages(s, d, 40),
+        "io16_whole_passages": _passages,
         "io17_dialogue_log": _dialogue,
         "io18_statistics": _stats,
         "s01_windows": _stream_windows,
@@ -356,6 +360,7 @@ SELECT event_id, {cutx('l')} AS l, {cutx('r')} AS r, {cutx('m')} AS m, {cutx('li
         "io14_metrics_file": "SELECT step, count(*) AS n FROM dump_entries GROUP BY step",
         "io15_appended": "SELECT sample_no, CASE WHEN split = 'test' THEN 'generated' ELSE split END AS split FROM qa_samples WHERE split IN ('dev', 'test')",
         "io16_passages": f"WITH {passages} SELECT query_id, string_agg('Doc ' || p || ': ' || t, chr(10) ORDER BY p) AS passages FROM (SELECT query_id, substr(coalesce(text, ''), 1, 40) AS t, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS p FROM t JOIN documents ON doc_id = id) GROUP BY query_id",
+        "io16_whole_passages": f"WITH {passages} SELECT query_id, string_agg('Doc ' || p || ': ' || t, chr(10) ORDER BY p) AS passages FROM (SELECT query_id, coalesce(text, '') AS t, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS p FROM t JOIN documents ON doc_id = id) GROUP BY query_id",
         "io17_dialogue_log": "SELECT entry_id, regexp_matches(output, '(?i)(Compare|Time_constraint|Count)\\s*\\[')::INT AS special FROM dump_entries WHERE output IS NOT NULL ORDER BY special DESC, entry_id LIMIT 50",
         "io18_statistics": "SELECT step, floor(mid_f1 * 10)::INT AS bin, count(*) AS n, array_to_string(list_sort(list(DISTINCT CAST(round(mid_f1, 2) AS VARCHAR))), ' ') AS seen FROM dump_entries WHERE mid_f1 IS NOT NULL AND NOT isnan(mid_f1) AND step IS NOT NULL GROUP BY 1, 2",
         "s01_windows": "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1, 2",

@@ -217,3 +217,13 @@ def test_most_frequent_vote_is_the_same_both_ways():
             want.update({v: 1 / len(tied) / 7**n for v in tied})
         got = Counter(rollout._most_frequent(np.random.RandomState(1), n, each, 20000).tolist())
         assert all(abs(got[v] / 20000 - want[v]) < 0.015 for v in range(4))
+
+
+def test_passages_hold_the_whole_text_of_their_hits(spark, sf_dir):
+    from lodestone.plans import data_queries
+
+    text = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = data_queries.queries()["io16_whole_passages"](spark, sf_dir).collect()
+    assert max(len(r.passages) for r in rows) > 3 * (40 + len("Doc 1: ")) + 2
+    first = [r.passages.split("\nDoc 2: ")[0].removeprefix("Doc 1: ") for r in rows]
+    assert set(first) <= set(text.values()) and max(map(len, first)) > 40
