@@ -128,6 +128,30 @@ def _results(s: SparkSession, d: str) -> DataFrame:
     return _dump(s, d).select("entry_id", F.size(ids).alias("n"), shown.alias("shown"), F.array_join(F.slice(ids, 1, 3), " ").alias("three"), F.array_join(kept, "\n").alias("cut"))
 
 
+def _whole_results(s: SparkSession, d: str, whole: int = 200, each: int = 50, chars: int = 3 * 2560) -> DataFrame:
+    """Result lists as the reference shows them: up to `whole` ids, else the first `each` and their number; text longer than
+    `chars` ends with the last line that leaves 100 free, and says how many lines are missing."""
+    info = F.array_join(tx.tagged(C("output"), "information"), "\n")
+    df = _dump(s, d).select("entry_id", info.alias("info")).withColumn("ids", F.array_distinct(F.regexp_extract_all("info", F.lit(r"([mg]\.[A-Za-z0-9_]+)"), F.lit(1))))
+    return df.select("entry_id", F.size("ids").alias("n"), _shown_ids(C("ids"), whole, each).alias("shown"), F.array_join(F.slice("ids", 1, 3), " ").alias("three"), _cut_lines(C("info"), chars).alias("cut"))
+
+
+def _shown_ids(ids, whole: int, each: int):
+    n = F.size(ids)
+    some = F.concat(F.array_join(F.slice(ids, 1, each), ", "), F.when(n > each, F.concat(F.lit(", ... (total "), n.cast("string"), F.lit(" items)"))).otherwise(""))
+    return F.when(n <= whole, F.array_join(ids, ", ")).otherwise(some)
+
+
+def _cut_lines(text, chars: int):
+    """Lines are added up once: (length so far, lines kept)."""
+    lines = F.split(text, "\n")
+    start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("kept"))
+    step = lambda a, x: F.struct((a.end + F.length(x) + 1).alias("end"), (a.kept + F.when(a.end + F.length(x) + 1 <= chars - 100, 1).otherwise(0)).alias("kept"))
+    kept = F.aggregate(lines, start, step).kept
+    note = F.when(F.size(lines) > kept, F.array(F.concat(F.lit("... ("), (F.size(lines) - kept).cast("string"), F.lit(" more lines truncated)")))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.length(text) <= chars, text).otherwise(F.array_join(F.concat(F.slice(lines, F.lit(1), kept), note), "\n"))
+
+
 def _hints(s: SparkSession, d: str) -> DataFrame:
     """Info block: the results, a hint where the relation's similarity is low, the other candidates."""
     res = F.array_join(F.slice(C("gts.target"), 1, 3), ", ")
@@ -178,6 +202,7 @@ def queries() -> dict:
         "t21_t22_placed_scores": _placed,
         "t23_t24_actions": _actions,
         "t25_t26_t27_results": _results,
+        "t25_t26_t27_whole_results": _whole_results,
         "t28_joined_results": _on_dump(lambda: F.replace(F.array_join(F.coalesce(C("gts.target"), F.array().cast("array<string>")), "\n"), F.lit("\0"), F.lit("")).alias("text")),
         "t29_t33_info_block": _hints,
         "t30_merged_results": dump(lambda df: df.where("file_stem IS NOT NULL AND input IS NOT NULL").groupBy(F.md5("input").alias("g")).agg(F.count("*").alias("parts"), F.sum(F.length("output")).alias("chars"))),
@@ -308,6 +333,10 @@ SELECT entry_id, i, name, array_to_string(args, '|') AS args, CASE WHEN name IN
         "t25_t26_t27_results": w + f""", i AS (SELECT entry_id, array_to_string({_tagged('information')}, chr(10)) AS info FROM d), k AS (SELECT *, regexp_extract_all(info, '([mg]\\.[A-Za-z0-9_]+)', 1) AS al, string_split(info, chr(10)) AS ls FROM i), j AS (SELECT *, {first_seen} AS ids FROM k)
 SELECT entry_id, len(ids)::INT AS n, CASE WHEN len(ids) <= 8 THEN array_to_string(ids, ', ') ELSE array_to_string(ids[1:5], ', ') || ' ... total ' || len(ids) END AS shown, array_to_string(ids[1:3], ' ') AS three,
  array_to_string(list_filter(ls, lambda x, i: list_sum(list_transform(ls[1:i], lambda y: len(y) + 1)) <= 120), chr(10)) AS cut FROM j""",
+        "t25_t26_t27_whole_results": w + f""", i AS (SELECT entry_id, array_to_string({_tagged('information')}, chr(10)) AS info FROM d), k AS (SELECT *, regexp_extract_all(info, '([mg]\\.[A-Za-z0-9_]+)', 1) AS al, string_split(info, chr(10)) AS ls FROM i), j AS (SELECT *, {first_seen} AS ids FROM k),
+c AS (SELECT *, len(list_filter(ls, lambda x, i: list_sum(list_transform(ls[1:i], lambda y: len(y) + 1)) <= 3 * 2560 - 100)) AS kept FROM j)
+SELECT entry_id, len(ids)::INT AS n, CASE WHEN len(ids) <= 200 THEN array_to_string(ids, ', ') ELSE array_to_string(ids[1:50], ', ') || ', ... (total ' || len(ids) || ' items)' END AS shown, array_to_string(ids[1:3], ' ') AS three,
+ CASE WHEN len(info) <= 3 * 2560 THEN info ELSE array_to_string(ls[1:kept] || ['... (' || (len(ls) - kept) || ' more lines truncated)'], chr(10)) END AS cut FROM c""",
         "t28_joined_results": w + "SELECT entry_id, replace(array_to_string(coalesce(gold, []), chr(10)), chr(0), '') AS text FROM d",
         "t29_t33_info_block": w + f"""SELECT entry_id, concat_ws(chr(10), '<information>', array_to_string(gold[1:3], ', '), CASE WHEN s < 0.98 THEN 'hint: similarity ' || CAST(round(s, 2)::DECIMAL(4,2) AS VARCHAR) END, CASE WHEN s <= 0.95 AND len(gold) > 3 THEN 'others: ' || array_to_string(gold[4:8], ', ') END, '</information>') AS block,
  CASE WHEN contains(input, '<|im_start|>') THEN 'chat' ELSE 'plain' END AS header FROM (SELECT *, coalesce(mid_f1, 0.0) AS s FROM d) {gold}""",

@@ -227,3 +227,21 @@ def test_passages_hold_the_whole_text_of_their_hits(spark, sf_dir):
     assert max(len(r.passages) for r in rows) > 3 * (40 + len("Doc 1: ")) + 2
     first = [r.passages.split("\nDoc 2: ")[0].removeprefix("Doc 1: ") for r in rows]
     assert set(first) <= set(text.values()) and max(map(len, first)) > 40
+
+
+def test_result_lists_are_shown_to_their_limits(spark, tmp_path):
+    from lodestone.plans import text_queries
+
+    def shown(n, **limits):
+        text = "<information>" + "\n".join(f"m.{i:03}" for i in range(n)) + "</information>"
+        spark.createDataFrame([(1, text)], "entry_id long, output string").write.mode("overwrite").parquet(f"{tmp_path}/dump_entries.parquet")
+        return (text_queries._whole_results(spark, str(tmp_path), **limits) if limits else text_queries.queries()["t25_t26_t27_whole_results"](spark, str(tmp_path))).first()
+
+    for n in (9, 200):
+        assert shown(n).shown == ", ".join(f"m.{i:03}" for i in range(n))
+    assert shown(60).cut == "\n".join(f"m.{i:03}" for i in range(60))
+    many = shown(201)
+    assert many.shown == ", ".join(f"m.{i:03}" for i in range(50)) + ", ... (total 201 items)" and many.n == 201
+    small = shown(30, whole=3, each=2, chars=118)
+    assert small.shown == "m.000, m.001, ... (total 30 items)" and small.cut == "m.000\nm.001\nm.002\n... (27 more lines truncated)"
+    assert shown(30, whole=3, each=2, chars=179).cut.count("m.") == 30
