@@ -6,7 +6,8 @@ group with a third of all rows is combined on the map side and split by adaptive
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators.batch import numbered
+from lodestone.session import cut
 
 EPS = 1e-6
 WHITEN_EPS = 1e-8
@@ -344,41 +346,82 @@ def bootstrap(values: np.ndarray, size: int, reducers: dict[str, Callable], draw
     return {n: (float(np.mean(v)), float(np.std(v))) for n, v in got.items()}
 
 
-def bootstrap_groups(df: DataFrame, keys: list[str], most: int = 512) -> DataFrame:
+def _places(total: int) -> Iterator[tuple[int, str, np.ndarray]]:
+    """(n, best or worst, 1,000 places from 0 to total in the ordered group) for n of 2, 4, ... and all. The largest of n draws lies at
+    the quantile U ** (1 / n), the smallest at 1 - U ** (1 / n), with U uniform: a resample costs one draw, whatever n is."""
+    n = 2
+    while True:
+        n = min(n, total)
+        u = np.random.RandomState(42).rand(2, 1000) ** (1 / n)
+        yield n, "best", u[0] * total
+        yield n, "worst", (1 - u[1]) * total
+        if n == total:
+            return
+        n *= 2
+
+
+def bootstrap_groups(df: DataFrame, keys: list[str], held: int = 1 << 18) -> DataFrame:
     """(keys, n, metric, value): best and worst of subsets of 2, 4, ... and all values of each group.
 
     A group is held as a histogram of its values with counts, which resampling needs no more than: an unbounded group with few
-    different scores stays small. The largest of n draws lies at the quantile U ** (1 / n), the smallest at 1 - U ** (1 / n), with U
-    uniform: a resample is drawn exactly at the cost of one draw, whatever n is. Groups with more than `most` different values are resampled from `most` equal quantiles.
+    different scores stays small. Groups with more than `held` different values are ordered over many tasks, and each place is
+    looked up where it lies; the values drawn are the same.
     """
-    counts = df.groupBy(*keys, "val").agg(F.count("*").alias("c"))
+    counts = cut(df.groupBy(*keys, "val").agg(F.count("*").alias("c")), "histogram")
     schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys) + ", n long, metric string, value double"
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         v, c = pdf["val"].to_numpy(float), pdf["c"].to_numpy(np.int64)
         order = np.argsort(v)
-        v, c = v[order], c[order]
-        total, out = int(c.sum()), []
-        if total > 1:
-            ends = np.cumsum(c)
-            if len(v) > most:
-                v, ends = np.array([v[np.searchsorted(ends, (i + 0.5) / most * total)] for i in range(most)]), np.round(np.arange(1, most + 1) / most * total).astype(np.int64)
-            n = 2
-            while True:
-                n = min(n, total)
-                u = np.random.RandomState(42).rand(2, 1000) ** (1 / n)
-                for name, place in (("best", u[0]), ("worst", 1 - u[1])):
-                    red = v[np.searchsorted(ends, place * total)]
-                    out += [(total, f"{name}@{n}/mean", float(red.mean())), (total, f"{name}@{n}/std", float(red.std()))]
-                if n == total:
-                    break
-                n *= 2
+        v, ends = v[order], np.cumsum(c[order])
+        total, out = int(ends[-1]), []
+        for n, name, places in _places(total) if total > 1 else ():
+            red = v[np.searchsorted(ends, places)]
+            out += [(total, f"{name}@{n}/mean", float(red.mean())), (total, f"{name}@{n}/std", float(red.std()))]
         res = pd.DataFrame(out, columns=["n", "metric", "value"])
         for i, k in enumerate(keys):
             res.insert(i, k, pdf[k].iloc[0])
         return res
 
-    return counts.groupBy(*keys).applyInPandas(one, schema)
+    large = counts.groupBy(*keys).agg(F.count("*").alias("_k"), F.sum("c").alias("n")).where(C("_k") > held)
+    large = cut(large.withColumn("_g", F.monotonically_increasing_id()), "large")
+    if large.isEmpty():
+        return counts.groupBy(*keys).applyInPandas(one, schema)
+    named = F.broadcast(large.select("_g", *[C(k).alias(f"_{i}") for i, k in enumerate(keys)]))
+    same = reduce(Column.__and__, [C(k).eqNullSafe(C(f"_{i}")) for i, k in enumerate(keys)])
+    rest = counts.join(named, same, "left_anti").groupBy(*keys).applyInPandas(one, schema)
+    drawn = _looked_up(counts.join(named, same).select("_g", "val", "c"), large.select("_g", "n"))
+    stats = drawn.groupBy("_g", "_at").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+    stats = stats.join(F.broadcast(large), "_g").select(*keys, "n", F.explode(F.array(*[F.struct(F.concat("_at", F.lit(f"/{m}")).alias("metric"), C(m).alias("value")) for m in ("mean", "std")])).alias("r"))
+    return rest.unionByName(stats.select(*keys, "n", "r.*"))
+
+
+def _looked_up(counts: DataFrame, totals: DataFrame) -> DataFrame:
+    """(_g, _at, value): the values at the places of each group, found in cumulative counts of ranges of values.
+    counts: _g, val, c; totals: _g, n."""
+    order = ["_g", C("val").asc_nulls_last()]
+    ranges = cut(counts.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ranges")
+    sizes = ranges.groupBy("_g", "_p").agg(F.sum("c").alias("_in"))
+    upto = F.sum("_in").over(Window.partitionBy("_g").orderBy("_p"))
+    sizes = sizes.select("_g", C("_p").alias("_q"), (upto - C("_in")).alias("_before"), upto.alias("_upto"))
+
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for g, total in zip(pdf["_g"], pdf["n"]):
+                for n, name, at in _places(int(total)):
+                    yield pd.DataFrame({"_g": g, "_at": f"{name}@{n}", "_place": at})
+
+    def found(wanted: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if not len(wanted):
+            return pd.DataFrame({"_g": [], "_at": [], "value": []})
+        v = held["val"].to_numpy(float)
+        o = np.argsort(v)
+        at = np.searchsorted(np.cumsum(held["c"].to_numpy(np.int64)[o]), (wanted["_place"] - wanted["_before"]).to_numpy())
+        return pd.DataFrame({"_g": wanted["_g"], "_at": wanted["_at"], "value": v[o][np.minimum(at, len(v) - 1)]})
+
+    wanted = totals.mapInPandas(places, "_g long, _at string, _place double").join(sizes, "_g")
+    wanted = wanted.where(((C("_place") > C("_before")) | (C("_before") == 0)) & (C("_place") <= C("_upto"))).select("_g", "_q", "_at", "_place", "_before")
+    return wanted.groupBy("_g", "_q").cogroup(ranges.groupBy("_g", "_p")).applyInPandas(found, "_g long, _at string, value double")
 
 
 def _most_frequent(rng: np.random.RandomState, n: int, each: np.ndarray, draws: int) -> np.ndarray:

@@ -245,3 +245,12 @@ def test_result_lists_are_shown_to_their_limits(spark, tmp_path):
     small = shown(30, whole=3, each=2, chars=118)
     assert small.shown == "m.000, m.001, ... (total 30 items)" and small.cut == "m.000\nm.001\nm.002\n... (27 more lines truncated)"
     assert shown(30, whole=3, each=2, chars=179).cut.count("m.") == 30
+
+
+def test_bootstrap_reaches_the_extremes_of_many_values(spark):
+    """20,000 different values: the largest is drawn by 20,000 draws with 0.632, and groups spread over tasks give the same."""
+    df = spark.range(20000).selectExpr("'s' AS source", "IF(id = 7, 1000000D, IF(id = 8, -1000000D, id / 20000D)) AS val")
+    df = df.unionAll(spark.range(50).selectExpr("CAST(NULL AS STRING)", "CAST(id % 9 AS DOUBLE)")).unionAll(spark.range(3).selectExpr("'t'", "CAST(id AS DOUBLE)"))
+    held, spread = ({(r.source, r.n, r.metric): r.value for r in rollout.bootstrap_groups(df, ["source"], **k).collect()} for k in ({}, {"held": 8}))
+    assert abs(held["s", 20000, "best@20000/mean"] / 1e6 - 0.632) < 0.06 and abs(held["s", 20000, "worst@20000/mean"] / 1e6 + 0.632) < 0.06
+    assert len([k for k in held if k[0] is None]) == 6 * 4 and spread == pytest.approx(held)
