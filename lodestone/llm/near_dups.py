@@ -1,15 +1,19 @@
 """Near-same texts (problem 5).
 
 Sets of words or word runs become fingerprints, fingerprints become bit counts per segment, and the Manhattan distance of
-two such vectors is a lower bound of the fingerprints' difference. A grid join over the vectors finds all candidates, which
-are then verified exactly on the sets.
-
-Two grids are used. Short sets (questions): the difference allowed is so small that by the pigeonhole principle two sets
-agree in one of their rarest coordinates; every set is entered in the unit cells of just these, and the packed popcounts of
-both partners must be within the allowed Manhattan distance. This loses no pair. Long sets (outputs): the allowed difference
-is half of the set, too large for that, so the fingerprint is one bit in each of 256 min-hash slots, slots are grouped in
-64 blocks of 4, and a pair is a candidate if at least 2 blocks are at distance 0. A pair at similarity 0.6 is
-lost with probability 0.0015, one at 0.65 with 0.00005, one above 0.7 with less than 0.000001.
+two such vectors is a lower bound of the fingerprints' difference. A grid join finds all candidates, which are then verified
+exactly on the sets.
+
+Short sets (questions): of the difference allowed it follows that two sets agree in two of their rarest coordinates; every set
+is entered in the cells of these (`prefix_cells`), and the packed popcounts of both partners must be within the allowed
+Manhattan distance. This loses no pair. Long sets (outputs): the allowed difference is half of the set, and cells that no pair
+can miss are so many and so full that their join grows with the square of the table (README has figures). The
+fingerprint is therefore one bit in each of 256 min-hash slots, slots are grouped in 64 blocks of 4, and a pair is a
+candidate if at least 2 blocks are at distance 0. A pair at similarity 0.6 is lost with probability 0.0015, one at 0.65 with
+0.00005, one above 0.7 with less than 0.000001. `near_outputs(exact=True)` takes the way that loses none.
+
+Joins that carry element arrays are sort-merge joins by hint: the size that the planner assumes for an array column is far
+below the true one, and it would broadcast them.
 """
 
 from __future__ import annotations
@@ -17,13 +21,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.sets import SEGMENTS, SLOTS, described
+from lodestone.llm.sets import SEGMENTS, SLOTS, described, prefix_cells
 from lodestone.session import cut
 
 BLOCK_SLOTS = 4
 LEAST_BLOCKS = 2
-FREQUENT_SHARE = 0.001
-BROADCAST_ROWS = 200_000
 
 
 def manhattan(a: Column, b: Column) -> Column:
@@ -35,59 +37,51 @@ def manhattan(a: Column, b: Column) -> Column:
     return total
 
 
-def classes(sets: DataFrame) -> DataFrame:
-    """One row for each different set: the smallest id stands for all equal ones."""
-    return sets.groupBy("digest").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", "pops", "slots", "els")])
+def classes(sets: DataFrame, *keys: str) -> DataFrame:
+    """One row for each different set (and keys): the smallest id stands for all equal ones."""
+    rest = [c for c in sets.columns if c not in ("id", "digest", *keys)]
+    return sets.groupBy("digest", *keys).agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in rest])
 
 
-def by_rarity(sets: DataFrame) -> DataFrame:
-    """(id, n, pops, els, ranked): ranked holds the elements, rarest in the whole table first, as structs (f, e).
-
-    Elements in more than FREQUENT_SHARE of the sets are at most sets' mean size / FREQUENT_SHARE in number; their counts are
-    broadcast, so the join of the other counts has no hot key.
-    """
-    rows = sets.select("id", F.explode("els").alias("e"))
-    counts = rows.groupBy("e").agg(F.count("*").alias("f"))
-    bar = max(1, int(sets.count() * FREQUENT_SHARE))
-    frequent = counts.where(F.col("f") > bar)
-    rest = counts.where(F.col("f") <= bar)
-    hot = rows.join(F.broadcast(frequent), "e")
-    cold = rows.join(F.broadcast(frequent), "e", "left_anti").join(rest, "e")
-    ranked = hot.unionByName(cold).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("ranked"))
-    return sets.select("id", "n", "pops", "els").join(ranked, "id")
+def candidates(left: DataFrame, right: DataFrame, on: Column, num: int, den: int) -> DataFrame:
+    """(a, b) of cells left (a, na, pa) and right (b, nb, pb) that meet and whose sizes and popcounts allow a similarity of num/den."""
+    fit = F.least("na", "nb") * den >= F.greatest("na", "nb") * num
+    bound = manhattan(F.col("pa"), F.col("pb")) * (den + num) <= (F.col("na") + F.col("nb")) * (den - num)
+    return left.join(right.hint("merge"), "cell").where(on & fit & bound).select("a", "b").distinct()
 
 
-def prefix_length(n: Column, num: int, den: int) -> Column:
-    """How many of the rarest elements two sets with Jaccard similarity of num/den or more must look at to share one."""
-    return n - F.ceil(n * num / den).cast("int") + 1
+def named(cells: DataFrame, x: str) -> DataFrame:
+    return cells.select("cell", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("pops").alias(f"p{x}"))
 
 
 def near_short(reps: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b), a < b, of all different sets with Jaccard similarity of num/den or more. reps is read several times."""
-    ranked = cut(by_rarity(reps), "ranked")
-    cells = ranked.select("id", "n", "pops", F.explode(F.slice("ranked", F.lit(1), prefix_length(F.col("n"), num, den))).alias("c")).select("id", "n", "pops", F.col("c.e").alias("cell"))
-    a = cells.select("cell", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pops").alias("pa"))
-    b = cells.select("cell", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pops").alias("pb"))
-    fit = (F.col("a") < F.col("b")) & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
-    bound = manhattan(F.col("pa"), F.col("pb")) * (den + num) <= (F.col("na") + F.col("nb")) * (den - num)
-    pairs = a.join(b, "cell").where(fit & bound).select("a", "b").distinct()
-    return verified(pairs, ranked.select("id", "els"), num, den)
+    cells = prefix_cells(reps, num, den)
+    pairs = candidates(named(cells, "a"), named(cells, "b"), F.col("a") < F.col("b"), num, den)
+    return verified(pairs, reps.select("id", "els"), num, den)
 
 
 def near_long(reps: DataFrame) -> DataFrame:
-    """(a, b), a < b, of different sets that are candidates by their grid coordinates."""
+    """(a, b), a < b, of different sets that are candidates by their grid coordinates.
+
+    A cell is one long, its low 16 bits the size of the set, so that a row of this large exchange has two fields.
+    """
     blocks = F.explode(F.sequence(F.lit(0), F.lit(SLOTS // BLOCK_SLOTS - 1)))
-    cells = reps.select("id", "n", "slots", blocks.alias("k")).select("id", "n", F.expr(f"xxhash64(substring(slots, {BLOCK_SLOTS} * k + 1, {BLOCK_SLOTS}), k)").alias("cell"))
-    a = cells.select("cell", F.col("id").alias("a"), F.col("n").alias("na"))
-    b = cells.select("cell", F.col("id").alias("b"), F.col("n").alias("nb"))
-    met = a.join(b, "cell").where("a < b AND least(na, nb) * 10 >= greatest(na, nb) * 6")
+    size = F.least("n", F.lit(0xFFFF)).cast("long")
+    where = F.expr(f"xxhash64(substring(slots, {BLOCK_SLOTS} * k + 1, {BLOCK_SLOTS}), k)")
+    cells = reps.select("id", size.alias("n"), "slots", blocks.alias("k")).select("id", F.shiftleft(where, 16).bitwiseOR(F.col("n")).alias("cell"))
+    a = cells.select(F.col("cell").alias("ca"), F.col("id").alias("a"))
+    b = cells.select(F.col("cell").alias("cb"), F.col("id").alias("b"))
+    na, nb = F.col("ca").bitwiseAND(F.lit(0xFFFF)), F.col("cb").bitwiseAND(F.lit(0xFFFF))
+    fit = F.least(na, nb) * 10 >= F.greatest(na, nb) * 6
+    met = a.join(b.hint("merge"), (F.shiftright("ca", 16) == F.shiftright("cb", 16)) & (F.col("a") < F.col("b")) & fit)
     return met.groupBy("a", "b").agg(F.count("*").alias("k")).where(F.col("k") >= LEAST_BLOCKS).select("a", "b")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs whose sets have Jaccard similarity of num/den or more."""
-    a = sets.select(F.col("id").alias("a"), F.col("els").alias("ea"))
-    b = sets.select(F.col("id").alias("b"), F.col("els").alias("eb"))
+    a = sets.select(F.col("id").alias("a"), F.col("els").alias("ea")).hint("merge")
+    b = sets.select(F.col("id").alias("b"), F.col("els").alias("eb")).hint("merge")
     both = pairs.join(a, "a").join(b, "b").withColumn("s", F.size(F.array_intersect("ea", "eb")))
     return both.where((F.size("ea") + F.size("eb") - F.col("s")) * num <= F.col("s") * den).select("a", "b")
 
@@ -95,34 +89,60 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 def expanded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a_id, b_id), the smaller first, of all members of near classes and of one class. sets: (id, digest) of all rows.
 
-    The result holds all pairs of a class of equal sets, as problem 5 wants; use `pairs` and `classes` where it doesn't.
+    The result holds all pairs of a class of equal sets, as problem 5 wants; `linked` doesn't expand them.
     """
-    shared = sets.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("size")).where("size > 1")
-    several = cut(sets.join(shared, "digest").select("id", "rep"), "members")
+    sets = sets.select("id", "digest").distinct()
+    shared = sets.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("size")).where("size > 1").select("digest", "rep")
+    several = cut(sets.join(shared.hint("merge"), "digest").select("id", "rep"), "members")
     left = pairs.join(several.select(F.col("rep").alias("a"), F.col("id").alias("x")), "a", "left").select("b", F.coalesce("x", "a").alias("x"))
     cross = left.join(several.select(F.col("rep").alias("b"), F.col("id").alias("y")), "b", "left").select("x", F.coalesce("y", "b").alias("y"))
-    inside = several.alias("l").join(several.alias("r"), "rep").where("l.id < r.id").select(F.col("l.id").alias("x"), F.col("r.id").alias("y"))
+    inside = several.alias("l").join(several.hint("merge").alias("r"), "rep").where("l.id < r.id").select(F.col("l.id").alias("x"), F.col("r.id").alias("y"))
     return cross.unionByName(inside).select(F.least("x", "y").alias("a_id"), F.greatest("x", "y").alias("b_id"))
 
 
-def near_questions(qa: DataFrame, row_id: str = "sample_no", text: str = "question") -> DataFrame:
-    """(a_id, b_id) of questions with at least 5 distinct words, of which those in both are at least 0.75 of those in either."""
-    sets = cut(described(qa, row_id, text, run=1, least_elements=5, keep_elements=True), "questions")
-    reps = cut(classes(sets), "question-classes")
-    return expanded(near_short(reps, 3, 4), sets)
-
-
-def near_outputs(entries: DataFrame, row_id: str = "entry_id", text: str = "output") -> DataFrame:
-    """(a_id, b_id) of outputs with at least 40 words, of whose distinct runs of 3 words those in both are at least 0.60 of
-    those in either."""
-    sets = cut(described(entries, row_id, text, run=3, least_words=40, slots=True).drop("els"), "outputs")
-    reps = classes(sets.withColumn("els", F.lit(None).cast("array<long>")))
-    pairs = cut(near_long(reps), "output-pairs")
+def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(id, class_id, links) of every row of sets: the smallest id of the equal sets, and how many other rows are near-same.
+
+    Copies are counted by their classes, never expanded into pairs.
+    """
+    sets = sets.select("id", "digest").distinct()
+    sizes = sets.groupBy("digest").agg(F.min("id").alias("class_id"), F.count("*").alias("size"))
+    sides = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = sides.join(sizes.select(F.col("class_id").alias("b"), "size").hint("merge"), "b").groupBy("a").agg(F.sum("size").alias("near"))
+    counted = sizes.join(near.select(F.col("a").alias("class_id"), "near").hint("merge"), "class_id", "left")
+    links = (F.col("size") - 1 + F.coalesce("near", F.lit(0))).alias("links")
+    return sets.join(counted.select("digest", "class_id", links).hint("merge"), "digest").select("id", "class_id", "links")
+
+
+def question_pairs(qa: DataFrame, row_id: str = "sample_no", text: str = "question") -> tuple[DataFrame, DataFrame]:
+    """(pairs of classes, sets) of questions with at least 5 distinct words, of which those in both are at least 0.75 of those
+    in either."""
+    sets = cut(described(qa, row_id, text, run=1, least_elements=5, keep_elements=True).select("id", "side", "n", "digest", "pops", "els"), "questions")
+    return near_short(cut(classes(sets), "question-classes"), 3, 4), sets
+
+
+def output_pairs(entries: DataFrame, row_id: str = "entry_id", text: str = "output", exact: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(pairs of classes, sets) of outputs with at least 40 words, of whose distinct runs of 3 words those in both are at least
+    0.60 of those in either. exact: candidates by cells that no pair can miss."""
+    if exact:
+        sets = cut(described(entries, row_id, text, run=3, least_words=40, keep_elements=True).drop("slots"), "outputs")
+        return near_short(cut(classes(sets), "output-classes"), 3, 5), sets
+    sets = cut(described(entries, row_id, text, run=3, least_words=40, slots=True).select("id", "n", "digest", "slots"), "outputs")
+    pairs = cut(near_long(classes(sets)), "output-pairs")
     ids = pairs.select(F.col("a").alias(row_id)).union(pairs.select(F.col("b").alias(row_id))).distinct()
-    few = ids.count() <= BROADCAST_ROWS
-    again = entries.select(row_id, text).join(F.broadcast(ids) if few else ids, row_id, "left_semi")
-    els = described(again, row_id, text, run=3, least_words=40, keep_elements=True).select("id", "els")
-    return expanded(verified(pairs, els, 3, 5), sets.select("id", "digest"))
+    again = entries.select(row_id, text).join(ids, row_id, "left_semi")
+    els = cut(described(again, row_id, text, run=3, least_words=40, keep_elements=True).select("id", "els"), "elements")
+    return verified(pairs, els, 3, 5), sets
+
+
+def near_questions(qa: DataFrame, row_id: str = "sample_no", text: str = "question") -> DataFrame:
+    """(a_id, b_id) of all near-same questions."""
+    return expanded(*question_pairs(qa, row_id, text))
+
+
+def near_outputs(entries: DataFrame, row_id: str = "entry_id", text: str = "output", exact: bool = False) -> DataFrame:
+    """(a_id, b_id) of all near-same outputs."""
+    return expanded(*output_pairs(entries, row_id, text, exact))
 
 
 def near_same(qa: DataFrame, entries: DataFrame) -> DataFrame:
@@ -133,3 +153,10 @@ def near_same(qa: DataFrame, entries: DataFrame) -> DataFrame:
     """
     q = near_questions(qa).select(F.lit("question").alias("kind"), "a_id", "b_id")
     return q.unionByName(near_outputs(entries).select(F.lit("output").alias("kind"), "a_id", "b_id"))
+
+
+def near_groups(qa: DataFrame, entries: DataFrame) -> DataFrame:
+    """(kind, id, class_id, links), one row for every question and output that takes part: its class of equal texts and the
+    number of other rows that are near-same to it."""
+    q = linked(*question_pairs(qa)).select(F.lit("question").alias("kind"), "id", "class_id", "links")
+    return q.unionByName(linked(*output_pairs(entries)).select(F.lit("output").alias("kind"), "id", "class_id", "links"))

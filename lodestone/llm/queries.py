@@ -26,6 +26,8 @@ def queries() -> dict[str, Query]:
         "p3_copies": lambda s, d: format_dups.record_copies(table(s, d, "dump_lines")),
         "p4_found": lambda s, d: cross_split.overlap_pairs(table(s, d, "qa_samples")),
         "p4_report": lambda s, d: cross_split.overlap_report(table(s, d, "qa_samples")),
+        "p4_overlaps": lambda s, d: cross_split.overlap_fractions(table(s, d, "qa_samples")),
+        "p5_groups": lambda s, d: near_dups.near_groups(table(s, d, "qa_samples"), table(s, d, "dump_entries")),
         "p5_found": lambda s, d: near_dups.near_same(table(s, d, "qa_samples"), table(s, d, "dump_entries")),
         "p6_ids": lambda s, d: tokens.encode_texts(table(s, d, "documents"), "doc_id", "text"),
         "p7_mixture": lambda s, d: mixture.mixture(table(s, d, "documents"), table(s, d, "mix_targets")),
@@ -73,6 +75,23 @@ found AS (
   UNION ALL SELECT a.sample_no, b.sample_no, 'sexpr' FROM rows a JOIN rows b ON a.x = b.x WHERE a.tr AND NOT b.tr AND a.x <> '')
 """
 
+# words cut after each place where 31 * (number of the word before) + (number of the word) is a multiple of 2; a word's number is the first 32 bits of its MD5 digest
+_CHUNKS = f"""cw AS (SELECT sample_no, lower(trim(split)) = 'train' AS tr, k, w[k] AS word, ('0x' || md5(w[k])[1:8])::BIGINT AS v FROM (
+    SELECT *, unnest(range(1, len(w) + 1)) AS k FROM (SELECT sample_no, split, string_split({_words("question")}, ' ') AS w FROM qa_samples
+      WHERE {_words("question")} <> '' AND lower(trim(split)) IN ('train', 'dev', 'test')))),
+cr AS (SELECT *, (31 * coalesce(lag(v) OVER p, 0) + v) % 2 = 0 AS cut FROM cw WINDOW p AS (PARTITION BY sample_no ORDER BY k)),
+cn AS (SELECT *, coalesce(sum(cut::INT) OVER (PARTITION BY sample_no ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM cr),
+ck AS (SELECT sample_no, tr, part, string_agg(word, ' ' ORDER BY k) AS chunk, count(*) AS n FROM cn GROUP BY ALL),
+cf AS (SELECT sample_no, sum(CASE WHEN chunk IN (SELECT chunk FROM ck WHERE tr) THEN n ELSE 0 END) / sum(n) AS overlap FROM ck WHERE NOT tr GROUP BY sample_no)
+"""
+
+
+def _linked(name: str, sets: str) -> str:
+    """CTEs: (id, class_id, links) of every set of `sets` (id, e), from the pairs of _near."""
+    return f"""{name}_k AS (SELECT id, min(id) OVER (PARTITION BY k) AS class_id FROM (SELECT id, list_sort(list(e)) AS k FROM {sets} GROUP BY id)),
+{name}_l AS (SELECT id, count(*) AS links FROM (SELECT a_id AS id FROM {name} UNION ALL SELECT b_id FROM {name}) GROUP BY id),
+{name}_g AS (SELECT k.id, class_id, coalesce(links, 0) AS links FROM {name}_k k LEFT JOIN {name}_l l ON k.id = l.id)"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -81,8 +100,12 @@ def oracle_sql() -> dict[str, str]:
         "p3_found": _RECORDS + "SELECT keep_id, line_id FROM records WHERE line_id <> keep_id",
         "p3_copies": _RECORDS + "SELECT keep_id, count(*) AS copies FROM records GROUP BY keep_id",
         "p4_found": _OVERLAPS + "SELECT DISTINCT least(train_no, eval_no) AS a_no, greatest(train_no, eval_no) AS b_no FROM found",
-        "p4_report": _OVERLAPS + """SELECT lower(trim(split)) AS split, lower(trim(dataset)) AS dataset, "by", count(DISTINCT eval_no) AS samples, count(*) AS pairs
-FROM found JOIN qa_samples ON sample_no = eval_no GROUP BY ALL""",
+        "p4_overlaps": "WITH " + _CHUNKS + "SELECT sample_no, overlap FROM cf",
+        "p4_report": _OVERLAPS + ", " + _CHUNKS + """, per AS (SELECT eval_no, "by", count(*) AS pairs FROM found GROUP BY ALL)
+SELECT lower(trim(split)) AS split, lower(trim(dataset)) AS dataset, "by", count(*) AS samples, sum(pairs)::BIGINT AS pairs, round(avg(overlap), 6) AS mean_overlap
+FROM per JOIN qa_samples q ON q.sample_no = eval_no LEFT JOIN cf ON cf.sample_no = eval_no GROUP BY ALL""",
+        "p5_groups": f"""WITH {_near("q", _QUESTION_WORDS, 3, 4)}, {_linked("q", "q_e")}, {_near("o", _OUTPUT_RUNS, 3, 5)}, {_linked("o", "o_e")}
+SELECT 'question' AS kind, id, class_id, links FROM q_g UNION ALL SELECT 'output', id, class_id, links FROM o_g""",
         "p5_found": f"""WITH {_near("q", _QUESTION_WORDS, 3, 4)}, {_near("o", _OUTPUT_RUNS, 3, 5)}
 SELECT 'question' AS kind, a_id, b_id FROM q UNION ALL SELECT 'output', a_id, b_id FROM o""",
     }

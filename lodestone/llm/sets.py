@@ -1,4 +1,9 @@
-"""Texts as sets of hashed words or word runs, with their segment popcounts and grid coordinates."""
+"""Texts as sets of hashed words or word runs, with their segment popcounts and grid coordinates.
+
+Rarity of elements is read from a sketch: SKETCH counters, each the number of sets that hold an element of its bucket. The sketch
+covers all sets, its size doesn't grow with them, and any order taken from it is one order for all sets, which is what a
+prefix join needs; collisions cost time, never a pair.
+"""
 
 from __future__ import annotations
 
@@ -9,11 +14,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SLOTS = 256
 SEGMENTS = 16
+SKETCH_BITS = 18
+SKETCH = 1 << SKETCH_BITS
+PAIRED = 32
 _WORD = re.compile(r"[^\W_]+")
 _MIX = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
@@ -74,34 +82,97 @@ def _describe(run: int, least_words: int, least_elements: int, slots: bool, keep
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seeds = _Hashes(), _seeds()
         for batch in batches:
-            ids, n, digest, pops, segs, lists = [], [], [], [], [], []
-            for row_id, text in zip(batch.column("_id").to_pylist(), batch.column("_t").to_pylist()):
-                words = _WORD.findall(text.lower()) if text else []
+            kept, n, digest, pops, segs, lists = [], [], [], [], [], []
+            for i, text in enumerate(batch.column("_t").to_pylist()):
+                words = _WORD.findall(text.lower())
                 if len(words) < max(least_words, run):
                     continue
                 els = elements(words, run, hashes)
                 if len(els) < least_elements:
                     continue
-                ids.append(row_id)
+                kept.append(i)
                 n.append(len(els))
                 digest.append(hashlib.blake2b(els.tobytes(), digest_size=16).digest())
                 pops.append(popcounts(els))
                 segs.append(slot_segments(els, seeds) if slots else None)
                 lists.append(els.astype(np.int64))
-            ends = np.zeros(len(ids) + 1, dtype=np.int32)
+            ends = np.zeros(len(kept) + 1, dtype=np.int32)
             if keep_elements:
                 np.cumsum(n, out=ends[1:])
             flat = np.concatenate(lists) if keep_elements and lists else np.empty(0, np.int64)
+            at = pa.array(kept, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(n, pa.int32()), pa.array(digest, pa.binary()), pa.array(pops, pa.int64()), pa.array(segs, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                names=["id", "n", "digest", "pops", "slots", "els"],
+                [batch.column("_id").take(at), batch.column("_side").take(at), pa.array(n, pa.int32()), pa.array(digest, pa.binary()), pa.array(pops, pa.int64()), pa.array(segs, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+                names=["id", "side", "n", "digest", "pops", "slots", "els"],
             )
 
     return go
 
 
-def described(df: DataFrame, row_id: str, text: str, run: int, least_words: int = 0, least_elements: int = 1, slots: bool = False, keep_elements: bool = False) -> DataFrame:
-    """(id, n, digest, pops, slots, els) of each text that is long enough: size, digest, segment popcounts, grid coordinates
-    and elements of its set. Null texts and null ids give no row."""
-    slim = df.where(F.col(row_id).isNotNull() & F.col(text).isNotNull()).select(F.col(row_id).cast("long").alias("_id"), F.col(text).alias("_t"))
-    return slim.mapInArrow(_describe(run, least_words, least_elements, slots, keep_elements), "id long, n int, digest binary, pops long, slots binary, els array<long>")
+def described(df: DataFrame, row_id: str, text: str, run: int, least_words: int = 0, least_elements: int = 1, slots: bool = False, keep_elements: bool = False, side: Column | None = None) -> DataFrame:
+    """(id, side, n, digest, pops, slots, els) of each text that is long enough: a flag of the caller, size, digest, segment
+    popcounts, grid coordinates and elements of its set. Null texts and null ids give no row."""
+    slim = df.where(F.col(row_id).isNotNull() & F.col(text).isNotNull()).select(F.col(row_id).cast("long").alias("_id"), F.col(text).alias("_t"), (F.lit(True) if side is None else side).alias("_side"))
+    return slim.mapInArrow(_describe(run, least_words, least_elements, slots, keep_elements), "id long, side boolean, n int, digest binary, pops long, slots binary, els array<long>")
+
+
+def _lists(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """(flat values as unsigned, where each row's begin and the last ones end) of a list column without nulls."""
+    col = batch.column(name)
+    ends = np.asarray(col.offsets)
+    return col.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), ends - ends[0]
+
+
+def bucket(els: np.ndarray) -> np.ndarray:
+    return (els >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def element_sketch(sets: DataFrame) -> np.ndarray:
+    """For each bucket of elements how many elements of `sets` (column els) fall in it."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(SKETCH, dtype=np.int64)
+        for batch in batches:
+            held += np.bincount(bucket(_lists(batch, "els")[0]), minlength=SKETCH)
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(held[at])], names=["b", "c"])
+
+    rows = sets.select("els").mapInArrow(go, "b int, c long").groupBy("b").agg(F.sum("c").alias("c")).toPandas()
+    counts = np.zeros(SKETCH, dtype=np.int64)
+    counts[rows["b"].to_numpy()] = rows["c"].to_numpy()
+    return counts
+
+
+def prefix_cells(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(cell, id, side, n, pops): the grid cells of each set, such that two sets with Jaccard similarity of num/den or more share one.
+
+    Two such sets have ceil(num/den * n) elements or more in common, n being the size of either. In one order of all elements,
+    the first k of the common ones stand among the first n - ceil(num/den * n) + k of each. Sets of up to PAIRED elements
+    are entered under each pair of these (k = 2), which few unrelated sets share; longer ones, whose pairs would be too many,
+    under each single one (k = 1), and sets that may have partners of both kinds are entered under both.
+    """
+    counts = sets.sparkSession.sparkContext.broadcast(element_sketch(sets))
+    both = PAIRED * num // den
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        share = counts.value
+        for batch in batches:
+            flat, ends = _lists(batch, "els")
+            cells, rows = [], []
+            for i in range(batch.num_rows):
+                els = flat[ends[i] : ends[i + 1]]
+                n = len(els)
+                head = els[np.lexsort((els, share[bucket(els)]))][: n + (-n * num) // den + 2]
+                mine = []
+                if n <= PAIRED:
+                    j, k = np.triu_indices(len(head), 1)
+                    mine.append(_mixed(head[j]) + head[k])
+                if n >= both:
+                    mine.append(_mixed(_mixed(head[: n + (-n * num) // den + 1])))
+                cells += mine
+                rows.append(sum(map(len, mine)))
+            at = pa.array(np.repeat(np.arange(batch.num_rows), rows) if rows else np.empty(0, np.int64))
+            flat = np.concatenate(cells).view(np.int64) if cells else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(flat), *(batch.column(c).take(at) for c in ("id", "side", "n", "pops"))], names=["cell", "id", "side", "n", "pops"])
+
+    return sets.select("id", "side", "n", "pops", "els").mapInArrow(go, "cell long, id long, side boolean, n int, pops long")

@@ -143,10 +143,40 @@ def test_near_outputs_equal_brute_force(spark):
     want = brute(sets, 3, 5)
     got = {tuple(r) for r in near_dups.near_outputs(clashing(spark.createDataFrame(rows, ENTRIES))).collect()}
     assert (501, 502) in got
+    exact = {tuple(r) for r in near_dups.near_outputs(clashing(spark.createDataFrame(rows, ENTRIES)), exact=True).collect()}
+    assert exact == want
     # a pair at the very bar may be missed with probability 0.0015
     assert got <= want and len(want - got) <= len(want) * 0.01
 
 
+def test_links_count_copies_without_pairs(spark):
+    words = [f"u{i}" for i in range(60)]
+    text, edited, other = " ".join(words), " ".join(words[:58] + ["x", "y"]), " ".join(f"z{i}" for i in range(50))
+    rows = [(1, "p", text, 0.0, 1), (2, "p", text.upper(), 0.0, 1), (2, "p", text.upper(), 0.0, 1), (3, "p", edited, 0.0, 1), (4, "p", other, 0.0, 1), (5, "p", "few words", 0.0, 1), (6, None, None, 0.0, 1)]
+    df = clashing(spark.createDataFrame(rows, ENTRIES))
+    got = near_dups.near_groups(spark.createDataFrame([(7, None, "a b c d e", None, None, None)], QA), df).collect()
+    assert sorted(tuple(r) for r in got) == [("output", 1, 1, 2), ("output", 2, 1, 2), ("output", 3, 3, 2), ("output", 4, 4, 0), ("question", 7, 7, 0)]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b", "c", "dd", "e1"]), max_size=60))
+def test_chunks_are_the_words_cut_by_their_content(words):
+    values = cross_split._Values()
+    chunks = cross_split.chunks_of(words, values)
+    assert [w for c in chunks for w in c] == words and all(chunks)
+    ends = np.cumsum([len(c) for c in chunks]).tolist()
+    rolled = [(31 * (values[words[i - 1]] if i else 0) + values[w]) % cross_split.CUT for i, w in enumerate(words)]
+    assert [i + 1 for i, r in enumerate(rolled) if r == 0 or i == len(words) - 1] == ends
+
+
+def test_overlap_fractions(spark):
+    q = "who acted as choir leader for ana belo when carl ran the mill"
+    rows = [(1, "", q, "", "train", ""), (2, "", q.upper(), "", "dev", ""), (3, "", "xx yy zz", "", " Test", ""), (4, "", None, "", "dev", ""), (5, "", " - ", "", "dev", ""), (6, "", q + " " + "word " * 50_000, "", "dev", ""), (7, "", q, "", None, "")]
+    got = {r.sample_no: r.overlap for r in cross_split.overlap_fractions(clashing(spark.createDataFrame(rows, QA))).collect()}
+    assert set(got) == {2, 3, 6} and got[2] == 1.0 and got[3] == 0.0 and 0 < got[6] < 0.001
+    assert cross_split.overlap_fractions(spark.createDataFrame([], QA)).count() == 0
+
+
 def test_near_same_of_empty_tables(spark):
     assert near_dups.near_same(spark.createDataFrame([], QA), spark.createDataFrame([], ENTRIES)).count() == 0
 
