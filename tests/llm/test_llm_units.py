@@ -266,7 +266,8 @@ def test_mixture(spark):
 
 # 8 stuffed pages
 def test_sentence_share():
-    assert stuffed_pages.sentence_share("") == (0, 1.0)
+    assert stuffed_pages.sentence_share("") == ([], 1.0)
+    assert stuffed_pages.sentence_share("cheap, free, bulk, download, excel, crack.")[1] == 0.0
     assert stuffed_pages.sentence_share("Home | Next | Cart\nLogin Sitemap")[1] == 0.0
     assert stuffed_pages.sentence_share("The mill was built in 1900. Who ran it then?\nTags: a, b")[1] > 0.7
 
@@ -286,6 +287,15 @@ def test_stuffed_pages(spark):
     assert stuffed_pages.stuffed_pages(df.where("false")).count() == 0
 
 
+def test_most_frequent_is_bounded(spark):
+    counted = spark.createDataFrame([(k, n) for k, n in enumerate([1, 2, 3, 3, 5, 8, 100, 1000])], "key long, n long")
+    keys, n, bar, total = stuffed_pages.most_frequent(counted, 100)
+    assert sorted(n) == [3, 3, 5, 8, 100, 1000] and bar == 3 and total == 1122
+    keys, n, bar, _ = stuffed_pages.most_frequent(counted, 3)
+    assert sorted(zip(keys, n)) == [(5, 8), (6, 100), (7, 1000)] and 5 < bar <= 8
+    assert len(stuffed_pages.most_frequent(counted.where("false"), 3)[0]) == len(stuffed_pages.most_frequent(counted, 0)[0]) == 0
+
+
 def test_places_find_what_is_there():
     rng = np.random.default_rng(1)
     keys = np.unique(rng.integers(0, 2**63, 3000, dtype=np.uint64))
