@@ -60,6 +60,21 @@ def test_defects(output, found):
     assert pair_defects.defects(Q, output) == found
 
 
+@pytest.mark.parametrize(
+    ("output", "found"),
+    [
+        ("Desculpe, não posso responder a essa pergunta.", ["refusal"]), ("Mi dispiace, non posso rispondere a questa domanda.", ["refusal"]), ("К сожалению, я не могу ответить на этот вопрос.", ["refusal", "other_language"]), ("申し訳ありませんが、その質問にはお答えできません。", ["refusal", "other_language"]), ("很抱歉，我無法回答這個問題。", ["refusal", "other_language"]),
+        ("Sorry, I don't know.", ["refusal"]), ("As an AI language model I am not comfortable with that topic.", ["refusal"]), ("Es tut mir leid, das geht leider nicht.", ["refusal"]), ("Het spijt me, ik kan deze vraag niet beantwoorden.", ["refusal"]), ("Przykro mi, nie mogę odpowiedzieć na to pytanie.", ["refusal"]), ("Üzgünüm, bu konuda bilgi veremem.", ["refusal"]), ("죄송합니다. 답변을 드릴 수 없습니다.", ["refusal", "other_language"]),
+        ("The mill was run by Carl (who had bought it.", ["truncated"]), ("The code is here:\n```\nselect 1.", ["truncated"]), ('The head of the choir said "it was Ana.', ["truncated"]), ("<answer>['m.1', 'm.2'</answer>", ["truncated"]), ("The mill (built in 1900) was run by Carl.", []), ("The rows are: a) Carl. b) Ana.", []),
+        ("O moinho era do Carl e a lista não tem mais nomes, mas o nó foi lido por ela.", ["other_language"]), ("Il mulino era di Carl e la lista non ha altri nomi, ma il nodo è stato letto da lei.", ["other_language"]), ("De molen was van Carl en de lijst heeft geen namen, maar het is door haar gelezen.", ["other_language"]),
+        ("Who acted as choir leader for Ana Belo when Carl ran the old mill in 1900? The list has one row with that role, and the row after it names the person who held it then: the answer is m.1.", [pair_defects.BEGINS]),
+        ("The treaty prohibits to share; they refused to sign it.", []), ("In Europa will ich das Haus, das keine Tür hat.", ["other_language"]), ("We know that they refused to sign the list.", []),
+    ],
+)
+def test_defects_in_other_words(output, found):
+    assert [x for x in pair_defects.defects(Q, output) if x != "other_language" or "other_language" in found] == found
+
+
 def test_defects_without_a_prompt():
     assert pair_defects.defects(None, None) == pair_defects.defects(" \n", "") == []
 
@@ -68,6 +83,8 @@ def test_pair_defects_table(spark):
     rows = [(1, Q, None, 0.0, 1), (1, Q, None, 0.0, 1), (2, None, None, None, None), (3, Q, "<answer>m.1</answer>", None, None)]
     df = pair_defects.pair_defects(clashing(spark.createDataFrame(rows, ENTRIES)))
     assert [(r.entry_id, r.defects) for r in df.collect()] == [(1, ["empty"]), (1, ["empty"])]
+    begins = [(4, Q, Q.split("Question: ")[1].split("<|")[0] + " It was the woman whom the second row of the list names: m.1.", 0.0, 1)]
+    assert pair_defects.pair_defects(spark.createDataFrame(begins, ENTRIES)).count() == 1 and pair_defects.first_defect(spark.createDataFrame(begins, ENTRIES)).count() == 0
     assert pair_defects.first_defect(spark.createDataFrame([], ENTRIES)).count() == 0
 
 
