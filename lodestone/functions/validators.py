@@ -14,7 +14,7 @@ MOST_LENGTH, MOST_DEPTH, MOST_JOINS, MOST_ANDS, MOST_CHAIN = 1000, 10, 5, 3, 3
 TIMEOUTS = ("hyt00", "cl066", "timeout")
 RELATION = r"^\w+\.\w+\.\w+$"
 # Properties too common to be asked for without a constant.
-COMMON = ("rdfs:label", "rdf:type", "type.object.type", "type.object.name")
+COMMON = ("rdfs:label", "rdfs:comment", "foaf:name", "dc:title", "skos:prefLabel", "owl:sameAs")
 NUMERIC_TYPES, TIME_TYPES = ("integer", "int", "float", "double", "decimal"), ("date", "datetime", "gyear", "gyearmonth")
 NUMERIC = r"^[+-]?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?$"
 TEMPORAL = r"^(\d{4}(-(0[1-9]|1[0-2]))?(-(0[1-9]|[12]\d|3[01]))?|\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2})?)$"
@@ -58,15 +58,16 @@ def suggestion(x: Column) -> Column:
 
 
 def unrestricted(q: Column) -> Column:
-    """Patterns of a query that would match nearly every fact."""
-    var, end = r"[?$]\w+", r"\s*(\.|\}|;|\s|$)"
+    """Patterns of a query that would match nearly every fact. Blanks between the parts of a pattern may be missing."""
+    var, end = r"[?$]\w+\s*", r"\s*(\.|\}|;|\s|$)"
+    common = "|".join(c.replace(".", r"\.") for c in COMMON)
     body = F.regexp_extract(q, r"(?is)WHERE\s*\{(.*)\}", 1)
-    # the optional label and the conditions don't restrict anything
+    # the optional label and the conditions are no substance
     bare = F.regexp_replace(F.regexp_replace(body, r"(?is)OPTIONAL\s*\{[^{}]*\}", " "), r"(?is)FILTER\s*\([^()]*(\([^()]*\)[^()]*)*\)", " ")
-    common = "|".join(c.replace(".", r"\.") for c in COMMON)
+    held = F.lower(body).contains("rdf:type") | body.contains(" a ") | F.lower(body).contains("filter") | (occurrences(body, ".") > 1)
     return _found(
-        (q.rlike(rf"{var}\s+{var}\s+{var}{end}"), "three_variables"), (bare.rlike(rf"{var}\s+a\s+{var}{end}"), "any_type"),
-        (bare.rlike(rf"{var}\s+(ns:)?({common})\s+{var}{end}"), "common_property"), (~bare.rlike(r"ns:"), "no_constant"), (F.length(F.trim(bare)) < 10, "no_substance"))
+        (q.rlike(rf"(?i){var}{var}[?$]\w+{end}"), "three_variables"), (body.rlike(rf"(?i){var}(a|rdf:type)\s*[?$]\w+{end}"), "any_type"),
+        (body.rlike(rf"(?i){var}({common})\s*[?$]\w+{end}") & ~held, "common_property"), (q.rlike(r"(?is)WHERE\s*\{.*\}") & ~body.contains("ns:"), "no_constant"), (F.length(F.trim(bare)) < 10, "no_substance"))
 
 
 def _typed_ok(value: Column, dtype: Column) -> Column:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.scans import running_sum
 from lodestone.session import cut
 
 C = F.col
@@ -202,8 +203,7 @@ def padded_array(x: Column, size: int, left: bool, fill: Column) -> Column:
 
 def positions(mask: Column) -> Column:
     """Place of each valid token from 0; invalid ones before the first get 0."""
-    sums = F.transform(mask, lambda _, i: F.aggregate(F.slice(mask, F.lit(1), i + 1), F.lit(0), lambda a, v: a + v))
-    return F.transform(F.arrays_zip(sums.alias("s"), mask.alias("m")), lambda z: F.greatest(z.s - 1, F.lit(0)) * z.m)
+    return F.zip_with(running_sum(mask), mask, lambda s, m: (F.greatest(s - 1, F.lit(0.0)) * m).cast("int"))
 
 
 def windowed_truncation(x: Column, most: int, side: str) -> Column:

@@ -7,12 +7,12 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.modes import COMPARISONS, EQUALITIES, MODE_WORDS, ORDERS, mode_key
 from lodestone.functions.text import bound, strip
 
 C = F.col
-# What each function is called as an action, and its comparison modes in words.
+# What each function is called as an action.
 ACTION_OF = {"START": "Extract_entity", "JOIN": "Find_relation", "AND": "Merge", "ARG": "Order", "CMP": "Compare", "TC": "Time_constraint", "COUNT": "Count", "STOP": "Finish"}
-MODE_WORDS = {"le": "LESS EQUAL", "ge": "GREATER EQUAL", "lt": "LESS THAN", "gt": "GREATER THAN"}
 _PATTERNS = {
     "START": r"START\('(.*?)'\)", "JOIN": r"JOIN\('(?:\(R )?(.*?)\)?', expression(\d*)\)", "AND": r"AND\((expression\d*), (expression\d*)\)", "ARG": r"ARG\('(.*?)', expression\d*, '(.*?)'\)",
     "CMP": r"CMP\('(.*?)', '(.*?)', expression\d*\)", "TC": r"TC\(expression\d*, '(.*?)', '(.*?)'\)", "COUNT": r"COUNT\((expression\d*)\)", "STOP": r"STOP\((expression\d*)\)",
@@ -82,6 +82,10 @@ def response(functions: Column, answer: Column) -> Column:
     return F.concat(F.lit("<think>\nThe steps follow from the question.\n</think>\n\n<action>\n"), F.array_join(action_lines(functions), "\n"), F.lit("\n</action>\n\n<answer>\n"), F.array_join(answer, ", "), F.lit("\n</answer>"))
 
 
+# Fixed value: the ability that records name.
+ABILITY = "kbqa-action-generation"
+
+
 def rl_records(qa: DataFrame) -> DataFrame:
     """Nested training records of question samples; samples without a question or functions keep empty parts."""
     fl, ans = F.coalesce("function_list", F.array().cast("array<string>")), F.coalesce("answer", F.array().cast("array<string>"))
@@ -89,14 +93,19 @@ def rl_records(qa: DataFrame) -> DataFrame:
     ents = entities(fl)
     source = F.lower("dataset")
     return qa.select(
-        "sample_no", source.alias("data_source"), F.array(F.struct(F.lit("user").alias("role"), prompt(q, ents, source).alias("content"))).alias("prompt"), response(fl, ans).alias("response"), F.lit("kbqa-action-generation").alias("ability"),
+        "sample_no", source.alias("data_source"), F.array(F.struct(F.lit("user").alias("role"), prompt(q, ents, source).alias("content"))).alias("prompt"), response(fl, ans).alias("response"), F.lit(ABILITY).alias("ability"),
         F.struct(F.lit("rule").alias("style"), F.struct("sexpr", ans.alias("target"), "sparql", fl.alias("function_list"), ents.alias("candidate_entities")).alias("ground_truth")).alias("reward_model"),
         F.struct("id", q.alias("original_question"), "level", source.alias("dataset_type"), F.size(ents).alias("n_entities")).alias("extra_info"))
 
 
 # Headings of hint blocks in prompts; clean-up removes what add_hint puts in.
 REFERENCE, EXAMPLE = "**Reference Action Sequence (for guidance):**", "**Example Solution Approach:**"
-AFTER = "Reason briefly, then give the next action."
+# Fixed value: the guidance that stands after the question of a prompt with hints.
+AFTER = (
+    "The reference already provides a complete action sequence to solve the problem. You only need to provide concise, effective reasoning. "
+    "Immediately after <think>, issue the next step using <action> so the environment can execute it. "
+    "Keep your reasoning brief—just explain why you will take the next action."
+)
 
 
 def add_hint(text: Column, hint: Column, style: str) -> Column:
@@ -127,9 +136,9 @@ def message_parts(x: Column) -> Column:
 
 
 def sft_records(entries: DataFrame) -> DataFrame:
-    """Chat records of dump entries; null outputs give one empty assistant message."""
+    """Chat records of dump entries; null outputs give one empty assistant message, and a NaN score is no reward: null."""
     user = F.array(F.struct(F.lit("user").alias("role"), clean_hints(F.coalesce("input", F.lit(""))).alias("content"), F.lit(0).alias("loss_mask")))
-    return entries.select("entry_id", F.concat(user, message_parts(C("output"))).alias("messages"), clean_hints(F.coalesce("input", F.lit(""))).alias("prompt"), C("output").alias("response"), C("score").alias("reward"), F.struct(F.lit("rule").alias("style"), C("gts").alias("ground_truth")).alias("reward_model"), F.struct("step", "mid_f1", "structure_reward").alias("extra_info"))
+    return entries.select("entry_id", F.concat(user, message_parts(C("output"))).alias("messages"), clean_hints(F.coalesce("input", F.lit(""))).alias("prompt"), C("output").alias("response"), F.when(~F.isnan("score"), C("score")).alias("reward"), F.struct(F.lit("rule").alias("style"), C("gts").alias("ground_truth")).alias("reward_model"), F.struct("step", "mid_f1", "structure_reward").alias("extra_info"))
 
 
 def by_metrics(entries: DataFrame, least_f1: float, structure: float | None, least_score: float | None) -> DataFrame:
@@ -151,9 +160,7 @@ class HintFold:
     """
 
     LINE = re.compile(r"^Action\d+:\s*([A-Za-z_]+)\s*\[\s*(.*?)\s*\]$")
-    # Comparison and order modes in words.
-    COMPARE = {"less than": "lt", "lt": "lt", "less equal": "le", "less than or equal": "le", "less than or equal to": "le", "le": "le", "greater than": "gt", "gt": "gt", "greater equal": "ge", "greater than or equal": "ge", "greater than or equal to": "ge", "ge": "ge", "=": "eq", "equal": "eq", "equals": "eq", "!=": "ne", "not equal": "ne"}
-    ORDER = {"argmin": "MIN", "min": "MIN", "argmax": "MAX", "max": "MAX"}
+    COMPARE = COMPARISONS | EQUALITIES
 
     def __init__(self, ids: list[str]):
         self.ids, self.started = ids, 0
@@ -182,7 +189,7 @@ class HintFold:
         if name == "Find_relation":
             args = [held or self.current(), args[0]] if len(args) == 1 else [self.token(args[0]), args[1]]
         elif name == "Order":
-            mode = self.ORDER.get(args[0].lower(), args[0].upper())
+            mode = ORDERS.get(mode_key(args[0]), args[0].upper()).removeprefix("ARG")
             args = [mode, held or self.current(), args[1]] if len(args) == 2 else [mode, self.token(args[1]), *args[2:]]
         elif name == "Merge" and len(args) >= 2:
             shown, numbers = [], []
@@ -199,7 +206,7 @@ class HintFold:
             self.n = min(left) if left else self.n
             args = shown
         elif name == "Compare" and len(args) >= 2:
-            op = self.COMPARE.get(re.sub(r"\s+", " ", args[0].lower().replace("_", " ")), args[0].lower())
+            op = self.COMPARE.get(mode_key(args[0]), args[0].lower())
             value = self.token(args[2]) if len(args) > 2 else (held or self.current())
             k = int(value[10:]) if re.fullmatch(r"expression\d+", value) else None
             known = self.stands.get(k) if k is not None else None

@@ -14,10 +14,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.scans import following, from_the_end
 from lodestone.operators.batch import numbered
 from lodestone.session import cut
 
 EPS = 1e-6
+DRAWN = 1 << 20
 WHITEN_EPS = 1e-8
 C = F.col
 
@@ -48,13 +50,6 @@ def mask_size(mask: str = "m") -> Column:
     return F.aggregate(mask, F.lit(0.0), lambda a, v: a + v)
 
 
-def reverse_scan(fn: Callable[[Column, Column], Column], items: Column, zero: Column, out: Callable[[Column], Column]) -> Column:
-    """Outputs of a recurrence from the last element to the first, in the order of the elements. fn(state, element) -> state."""
-    # the new state is bound once, as the only element of an array
-    step = lambda acc, x: F.get(F.transform(F.array(fn(acc.s, x)), lambda s: F.struct(s.alias("s"), F.concat(acc.o, F.array(out(s))).alias("o"))), F.lit(0))
-    return F.reverse(F.aggregate(F.reverse(items), F.struct(zero.alias("s"), F.array().cast("array<double>").alias("o")), step).o)
-
-
 # Outcome estimators: rows (uid, score) -> adv. A group of one has mean 0 and standard deviation 1 unless said otherwise.
 def _moments(df: DataFrame) -> DataFrame:
     df = with_groups(df, "uid", _n=F.count("*"), _mu=F.avg("score"), _sd=F.stddev_samp("score"), _sum=F.sum("score"))
@@ -124,28 +119,29 @@ def reinforce_baseline(df: DataFrame) -> DataFrame:
     return whitened(d, "adv")
 
 
+def masked(array: str, x: Column | None = None) -> Column:
+    """array where the mask is 1, else 0; what stands there, NaN too, has no effect."""
+    return F.zip_with(C(array) if x is None else x, "m", lambda a, k: F.when(k > 0, a).otherwise(0.0))
+
+
 def reinforce_plus(df: DataFrame, gamma: float = 1.0) -> DataFrame:
     """Discounted return to the end, cut by the mask, then whitened."""
-    z = F.struct(F.lit(0.0).alias("ret"), F.lit(0.0).alias("run"))
-    step = lambda s, x: F.struct((x.r + gamma * s.run).alias("ret"), ((x.r + gamma * s.run) * x.m).alias("run"))
-    return whitened(df.withColumn("adv", reverse_scan(step, F.arrays_zip("r", "m"), z, lambda s: s.ret)), "adv")
+    d = df.withColumn("_run", from_the_end(masked("r"), F.transform("m", lambda k: gamma * k)))
+    d = d.withColumn("adv", F.zip_with("r", following(C("_run")), lambda r, x: r + gamma * x)).drop("_run")
+    return whitened(d, "adv")
 
 
 def remax(df: DataFrame, baseline: Column) -> DataFrame:
-    z = F.lit(0.0)
-    returns = reverse_scan(lambda s, x: s + x.r * x.m, F.arrays_zip("r", "m"), z, lambda s: s)
+    returns = from_the_end(masked("r"), F.transform("m", lambda _: F.lit(1.0)))
     return df.withColumn("returns", returns).withColumn("adv", F.zip_with("returns", "m", lambda x, k: x - baseline * k))
 
 
 def gae(df: DataFrame, gamma: float = 1.0, lam: float = 0.95) -> DataFrame:
     """Generalised advantages by reverse recurrence, masked tokens passed over; returns before, advantages after whitening."""
-    z = F.struct(F.lit(0.0).alias("next"), F.lit(0.0).alias("last"))
-
-    def step(s: Column, x: Column) -> Column:
-        fresh = x.r + gamma * s.next - x.v + gamma * lam * s.last
-        return F.struct((x.v * x.m + (1 - x.m) * s.next).alias("next"), (fresh * x.m + (1 - x.m) * s.last).alias("last"))
-
-    d = df.withColumn("adv", reverse_scan(step, F.arrays_zip("r", "v", "m"), z, lambda s: s.last)).withColumn("returns", F.zip_with("adv", "v", lambda a, v: a + v))
+    d = df.withColumn("_next", following(from_the_end(masked("v"), F.transform("m", lambda k: 1.0 - k))))
+    delta = F.zip_with(F.zip_with("r", "v", lambda r, v: r - v), "_next", lambda x, n: x + gamma * n)
+    d = d.withColumn("adv", from_the_end(masked("", delta), F.transform("m", lambda k: gamma * lam * k + 1.0 - k)))
+    d = d.withColumn("returns", F.zip_with("adv", "v", lambda a, v: a + v)).drop("_next")
     return whitened(d, "adv", keep_outside=True)
 
 
@@ -346,24 +342,44 @@ def bootstrap(values: np.ndarray, size: int, reducers: dict[str, Callable], draw
     return {n: (float(np.mean(v)), float(np.std(v))) for n, v in got.items()}
 
 
-def _places(total: int) -> Iterator[tuple[int, str, np.ndarray]]:
-    """(n, best or worst, 1,000 places from 0 to total in the ordered group) for n of 2, 4, ... and all. The largest of n draws lies at
-    the quantile U ** (1 / n), the smallest at 1 - U ** (1 / n), with U uniform: a resample costs one draw, whatever n is."""
+def _resamples(total: int, n: int, draws: int = 1000, seed: int = 42) -> Iterator[np.ndarray]:
+    """The indices that `draws` calls of choice(total, n) of one seeded generator give, a block of resamples at a time."""
+    rng = np.random.RandomState(seed)
+    rows = max(1, DRAWN // n)
+    for i in range(0, draws, rows):
+        yield rng.choice(total, size=(min(rows, draws - i), n), replace=True)
+
+
+def _sizes(total: int) -> Iterator[int]:
+    """2, 4, 8, ... and total."""
     n = 2
-    while True:
-        n = min(n, total)
-        u = np.random.RandomState(42).rand(2, 1000) ** (1 / n)
-        yield n, "best", u[0] * total
-        yield n, "worst", (1 - u[1]) * total
-        if n == total:
-            return
+    while n < total:
+        yield n
         n *= 2
+    yield total
+
+
+def _places(total: int) -> Iterator[tuple[int, str, np.ndarray]]:
+    """(n, best or worst, 1,000 places from 1 to total in the ordered group) for n of 2, 4, ... and all: the last and the first of
+    the values drawn."""
+    for n in _sizes(total):
+        if n <= DRAWN:
+            best, worst = (np.concatenate(x) for x in zip(*((x.max(axis=1), x.min(axis=1)) for x in _resamples(total, n))))
+        else:  # a resample is drawn in pieces, by the same generator
+            rng, best, worst = np.random.RandomState(42), np.zeros(1000, np.int64), np.full(1000, total)
+            for i in range(1000):
+                for at in range(0, n, DRAWN):
+                    part = rng.choice(total, size=min(DRAWN, n - at), replace=True)
+                    best[i], worst[i] = max(best[i], part.max()), min(worst[i], part.min())
+        yield n, "best", best + 1
+        yield n, "worst", worst + 1
 
 
 def bootstrap_groups(df: DataFrame, keys: list[str], held: int = 1 << 18) -> DataFrame:
     """(keys, n, metric, value): best and worst of subsets of 2, 4, ... and all values of each group.
 
-    A group is held as a histogram of its values with counts, which resampling needs no more than: an unbounded group with few
+    The draws are those of NumPy's generator with seed 42 over the group in ascending order of its values, the same for best
+    and worst. A group is held as a histogram of its values with counts, into which indices are mapped: an unbounded group with few
     different scores stays small. Groups with more than `held` different values are ordered over many tasks, and each place is
     looked up where it lies; the values drawn are the same.
     """
@@ -424,30 +440,30 @@ def _looked_up(counts: DataFrame, totals: DataFrame) -> DataFrame:
     return wanted.groupBy("_g", "_q").cogroup(ranges.groupBy("_g", "_p")).applyInPandas(found, "_g long, _at string, value double")
 
 
-def _most_frequent(rng: np.random.RandomState, n: int, each: np.ndarray, draws: int) -> np.ndarray:
-    """The most frequent vote of each of `draws` resamples of n responses; each[i] responses have vote i. Equal votes have equal chances.
-    The counts are drawn at once, or where there are more votes than draws, one by one."""
-    won, k, upto = np.empty(draws, np.int64), len(each), np.cumsum(each)
-    if n < k:
-        for i in range(draws):
-            votes, times = np.unique(np.searchsorted(upto, rng.randint(0, upto[-1], n), side="right"), return_counts=True)
-            won[i] = rng.choice(votes[times == times.max()])
-        return won
-    rows = max(1, (1 << 18) // k)
-    for i in range(0, draws, rows):
-        times = rng.multinomial(n, each / upto[-1], size=min(rows, draws - i))
-        tied = np.cumsum(times == times.max(axis=1, keepdims=True), axis=1)
-        won[i : i + rows] = (tied > rng.randint(0, tied[:, -1])[:, None]).argmax(axis=1)
-    return won
+def _first_of_most(votes: np.ndarray, k: int) -> np.ndarray:
+    """For each row of votes (codes below k) the place where its most frequent vote stands first; among equals the one met first.
+    A vote's last place less its first, in sorted order of (row, vote), is its number."""
+    rows, n = votes.shape
+    order = np.argsort(votes, axis=1, kind="stable")
+    ranked = np.take_along_axis(votes, order, axis=1)
+    new = np.ones((rows, n), bool)
+    new[:, 1:] = ranked[:, 1:] != ranked[:, :-1]
+    at = np.flatnonzero(new)
+    times = np.diff(np.append(at, rows * n))
+    first = order.ravel()[at]  # the sort is stable: a vote's first place comes first
+    row = at // n
+    score = times * np.int64(n) + (n - 1 - first)
+    best = np.full(rows, -1, np.int64)
+    np.maximum.at(best, row, score)
+    return n - 1 - best % n
 
 
 def bootstrap_majority(df: DataFrame, keys: list[str], draws: int = 1000, seed: int = 42) -> DataFrame:
     """(keys, n, metric, value): mean and deviation, over seeded resamples of 2, 4, ... and all responses of a group, of the score that
     the most frequent vote has first. df: keys, vote, val. Equal votes go to the one drawn first.
 
-    Responses of a group with the same vote and score are one weighted entry, so what a task holds grows with the different
-    ones only. Of a resample only the counts of its votes are drawn. Given these, its order is a random permutation: each of the
-    votes that are equal in number is first with the same chance, and the first score of a vote is any of its scores.
+    The draws are those of NumPy's generator over the group in ascending order of vote and score. Responses with the same vote
+    and score are one weighted entry, into which indices are mapped, so what a task holds grows with the different ones only.
     """
     counts = df.groupBy(*keys, "vote", "val").agg(F.count("*").alias("c"))
     schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys) + ", n long, metric string, value double"
@@ -455,18 +471,15 @@ def bootstrap_majority(df: DataFrame, keys: list[str], draws: int = 1000, seed:
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["vote", "val"])
         code, val, ends = pd.factorize(pdf["vote"], use_na_sentinel=False)[0], pdf["val"].to_numpy(float), np.cumsum(pdf["c"].to_numpy(np.int64))
-        upto = ends[np.append(np.flatnonzero(np.diff(code)), len(code) - 1)]
-        each = np.diff(upto, prepend=0)
-        total, out, n = int(ends[-1]), [], 2
-        while total > 1:
-            n = min(n, total)
-            rng = np.random.RandomState(seed)
-            won = _most_frequent(rng, n, each, draws)
-            got = val[np.searchsorted(ends, upto[won] - each[won] + rng.randint(0, each[won]), side="right")]
+        total, out = int(ends[-1]), []
+        for n in _sizes(total) if total > 1 else ():
+            got = []
+            for drawn in _resamples(total, n, draws, seed):
+                entry = np.searchsorted(ends, drawn, side="right")
+                first = _first_of_most(code[entry], len(code))
+                got.append(val[entry[np.arange(len(entry)), first]])
+            got = np.concatenate(got)
             out += [(total, f"maj@{n}/mean", float(got.mean())), (total, f"maj@{n}/std", float(got.std()))]
-            if n == total:
-                break
-            n *= 2
         res = pd.DataFrame(out, columns=["n", "metric", "value"])
         for i, k in enumerate(keys):
             res.insert(i, k, pdf[k].iloc[0])

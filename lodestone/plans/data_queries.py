@@ -349,7 +349,7 @@ SELECT event_id, {cutx('l')} AS l, {cutx('r')} AS r, {cutx('m')} AS m, {cutx('li
         "e15_loss_mask": f"WITH {_MSG} SELECT role, count(*) AS n, sum((role <> 'tool')::INT)::BIGINT AS trained FROM r GROUP BY role",
         "e16_webqsp_records": qa + "SELECT sample_no, asked AS original_question, n_ids::INT AS n FROM q WHERE lower(dataset) = 'webqsp' AND question IS NOT NULL",
         "e17_preference_pairs": "WITH d AS (SELECT md5(input) AS prompt, entry_id, score + 0.0 AS score FROM dump_entries WHERE input IS NOT NULL AND output IS NOT NULL AND score IS NOT NULL AND NOT isnan(score)), o AS (SELECT *, row_number() OVER (PARTITION BY prompt ORDER BY score DESC, entry_id) AS h, row_number() OVER (PARTITION BY prompt ORDER BY score, entry_id) AS l FROM d) SELECT a.prompt, a.entry_id AS chosen, b.entry_id AS rejected FROM o a JOIN o b ON a.prompt = b.prompt AND a.h = 1 AND b.l = 1 WHERE a.score > b.score",
-        "e18_sft_records": f"WITH {_MSG}, z AS (SELECT entry_id, count(*) AS n FROM r GROUP BY entry_id) SELECT entry_id, (coalesce(n, 1) + 1)::INT AS n, score AS reward, step FROM dump_entries LEFT JOIN z USING (entry_id)",
+        "e18_sft_records": f"WITH {_MSG}, z AS (SELECT entry_id, count(*) AS n FROM r GROUP BY entry_id) SELECT entry_id, (coalesce(n, 1) + 1)::INT AS n, CASE WHEN NOT isnan(score) THEN score END AS reward, step FROM dump_entries LEFT JOIN z USING (entry_id)",
         "io01_json_array": "SELECT n_nationkey, n_name FROM nation",
         "io02_dump_files": "WITH l AS (SELECT file_stem, line FROM dump_lines WHERE line IS NOT NULL AND file_stem IS NOT NULL AND json_valid(line)), o AS (SELECT * FROM l WHERE json_type(line) = 'OBJECT') SELECT file_stem, count(*) AS n, count(json_extract_string(line, '$.input')) AS inputs, count(json_extract_string(line, '$.output')) AS outputs, round(sum(CAST(json_extract_string(line, '$.score') AS DOUBLE)), 4) AS score FROM o GROUP BY file_stem",
         "io03_io04_parquet": "SELECT * FROM nation",

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from lodestone.functions.modes import COMPARISONS, ORDERS, mode_key
+
 BAD = "@BAD_EXPRESSION"
 _CALL = re.compile(r"^\s*expression(\d*)\s*=\s*(START|JOIN|AND|ARG|CMP|TC|COUNT|STOP)\s*\((.*)\)\s*$", re.DOTALL)
 _ARG = re.compile(r"""\s*(?:'((?:[^'\\]|\\.)*)'|"((?:[^"\\]|\\.)*)"|(expression\d*)|([^,'"]+))\s*(?:,|$)""")
@@ -60,9 +62,6 @@ def to_sexpr(lines: list[str] | None) -> str:
 
 # Names of the actions and, in the order they are tried, how many arguments each takes.
 ACTIONS = {"Find_relation": 2, "Merge": 2, "Order": 3, "Compare": 3, "Time_constraint": 2, "Count": 1}
-# Synonyms of comparison and order modes.
-MODES = {"<": "lt", "<=": "le", ">": "gt", ">=": "ge", "less than": "lt", "greater than": "gt", "at most": "le", "at least": "ge", "lt": "lt", "le": "le", "gt": "gt", "ge": "ge"}
-ORDERS = {"max": "ARGMAX", "argmax": "ARGMAX", "maximum": "ARGMAX", "largest": "ARGMAX", "min": "ARGMIN", "argmin": "ARGMIN", "minimum": "ARGMIN", "smallest": "ARGMIN"}
 _NEEDED = {n: re.compile(rf"(?:Action(\d+):\s*|^){n}\s*\[" + r"\|".join([r"\s*([^|\]]+?)\s*"] * k) + r"\]", re.IGNORECASE | re.MULTILINE) for n, k in ACTIONS.items()}
 
 
@@ -127,13 +126,13 @@ class Builder:
             self.lines.append(f"{self._name(into)} = AND({shown[0]}, {shown[1]})")
             self.current = into
         elif name == "Compare":
-            mode = MODES.get(args[0].lower())
+            mode = COMPARISONS.get(mode_key(args[0]))
             if not mode:
                 return False
             n = self._new()
             self.lines += [f"{self._name(n)} = START('{typed(args[2])}')", f"{self._name(n)} = CMP('{mode}', '{args[1]}', {self._name(n)})"]
         elif name == "Order":
-            mode = ORDERS.get(args[0].lower())
+            mode = ORDERS.get(mode_key(args[0]))
             if not mode:
                 return False
             if ref[1]:
@@ -181,7 +180,7 @@ def from_sparql(query: str | None) -> str:
     compare = re.search(r"filter\s*\(\s*(?:xsd:\w+\()?(\?\w+)\)?\s*(<=|>=|<|>)\s*([^)\s]+)", m.group(1), re.IGNORECASE)
     order = re.search(r"order\s+by\s+(desc\s*\()?\s*\(?(\?\w+)", tail, re.IGNORECASE)
     if compare and compare.group(1) == o:
-        return f"({MODES[compare.group(2)]} {rel} {compare.group(3)})"
+        return f"({COMPARISONS[compare.group(2)]} {rel} {compare.group(3)})"
     if order and order.group(2) == o:
         kind = next((x[3:] for a, r, x in found if a == "?x" and r == "type.object.type" and x.startswith("ns:")), None)
         return f"({'ARGMAX' if order.group(1) else 'ARGMIN'} {kind} {rel})" if kind else "null"

@@ -76,12 +76,14 @@ def _losses(s: SparkSession, d: str) -> DataFrame:
 
 
 def _weights(s: SparkSession, d: str) -> DataFrame:
-    out = None
-    for level in ("token", "sequence", "geometric"):
-        for mode in ("truncate", "mask"):
-            part = _per_token(ro.importance_weights(tokens(s, d), level, mode, veto=0.55), "w").select(F.lit(level).alias("level"), F.lit(mode).alias("mode"), "event_id", "i", "w")
-            out = part if out is None else out.unionAll(part)
-    return out
+    """All kinds of weights in one pass: each is one more array of a row."""
+    kinds = [(level, mode) for level in ("token", "sequence", "geometric") for mode in ("truncate", "mask")]
+    df = tokens(s, d).select("event_id", "old", "roll", "m")
+    for level, mode in kinds:
+        df = ro.importance_weights(df, level, mode, veto=0.55).withColumnRenamed("w", f"{level}_{mode}")
+    rows = df.select("event_id", F.posexplode(F.arrays_zip(*[f"{lv}_{md}" for lv, md in kinds])).alias("i", "t"))
+    each = F.explode(F.array(*[F.struct(F.lit(lv).alias("level"), F.lit(md).alias("mode"), _r(C(f"t.{lv}_{md}")).alias("w")) for lv, md in kinds]))
+    return rows.select("event_id", (C("i") + 1).alias("i"), each.alias("k")).select("k.level", "k.mode", "event_id", "i", "k.w")
 
 
 def _masked(s: SparkSession, d: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
 from lodestone.functions import terms
-from lodestone.plans.functions_list import MODES, ORDERS
+from lodestone.functions.modes import COMPARISONS, ORDERS
 from lodestone.session import table
 
 C = F.col
@@ -113,8 +113,8 @@ def _actions(s: SparkSession, d: str) -> DataFrame:
     name, inner = F.lower(F.regexp_extract("line", ACTION, 1)), F.regexp_extract("line", ACTION, 2)
     args = F.transform(F.split(inner, r"\|"), tx.strip)
     mode = F.when(name == "compare", F.get(args, F.lit(0))).when(name == "order", F.get(args, F.lit(0)))
-    lookup = F.create_map(*[F.lit(x) for k, v in (MODES | ORDERS).items() for x in (k, v)])
-    return lines.where(F.col("line").rlike(ACTION)).select("entry_id", "i", name.alias("name"), F.array_join(args, "|").alias("args"), F.try_element_at(lookup, F.lower(mode)).alias("mode"))
+    lookup = F.create_map(*[F.lit(x) for k, v in (COMPARISONS | ORDERS).items() for x in (k, v)])
+    return lines.where(F.col("line").rlike(ACTION)).select("entry_id", "i", name.alias("name"), F.array_join(args, "|").alias("args"), F.try_element_at(lookup, F.trim(F.regexp_replace(F.lower(mode), r"[_\s]+", " "))).alias("mode"))
 
 
 def _results(s: SparkSession, d: str) -> DataFrame:
@@ -122,8 +122,8 @@ def _results(s: SparkSession, d: str) -> DataFrame:
     info = F.array_join(tx.tagged(C("output"), "information"), "\n")
     ids = F.array_distinct(F.regexp_extract_all(info, F.lit(r"([mg]\.[A-Za-z0-9_]+)"), F.lit(1)))
     lines = F.split(info, "\n")
-    ends = F.transform(lines, lambda x, i: F.aggregate(F.slice(lines, F.lit(1), i + 1), F.lit(0), lambda a, y: a + F.length(y) + 1))
-    kept = F.filter(lines, lambda x, i: F.get(ends, i) <= 120)
+    step = lambda a, x: F.struct((a.end + F.length(x) + 1).alias("end"), (a.kept + F.when(a.end + F.length(x) + 1 <= 120, 1).otherwise(0)).alias("kept"))
+    kept = F.slice(lines, F.lit(1), F.aggregate(lines, F.struct(F.lit(0).alias("end"), F.lit(0).alias("kept")), step).kept)
     shown = F.when(F.size(ids) <= 8, F.array_join(ids, ", ")).otherwise(F.concat(F.array_join(F.slice(ids, 1, 5), ", "), F.lit(" ... total "), F.size(ids).cast("string")))
     return _dump(s, d).select("entry_id", F.size(ids).alias("n"), shown.alias("shown"), F.array_join(F.slice(ids, 1, 3), " ").alias("three"), F.array_join(kept, "\n").alias("cut"))
 
@@ -162,9 +162,9 @@ def _hints(s: SparkSession, d: str) -> DataFrame:
 
 def _placed(s: SparkSession, d: str) -> DataFrame:
     """The score stands at the last valid token of a response; lengths are in words."""
-    n = F.least(F.size(F.split(tx.squeeze(C("output")), " ")), F.lit(64))
+    n = F.size(F.split(tx.squeeze(C("output")), " "))
     df = _dump(s, d).where("score IS NOT NULL AND NOT isnan(score)").select("entry_id", F.col("score") + 0.0, n.alias("n")).toDF("entry_id", "score", "n")
-    placed = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.when(i == F.col("n"), F.col("score")).otherwise(0.0))
+    placed = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.when(i == F.col("n"), F.col("score")).otherwise(0.0))
     return df.select("entry_id", "n", F.aggregate(placed, F.lit(0.0), lambda a, x: a + x).alias("total"), F.get(placed, F.col("n") - 1).alias("at_last"), _r(tx.overlong_penalty(F.col("n"), 60, 20, 1.0)).alias("penalty"))
 
 
@@ -282,7 +282,10 @@ _EM = f"len(list_filter(gold, lambda g: {_joined('g')} = {_joined('last')})) > 0
 _REL_T = f"len(list_filter({_tagged('information')}, lambda b: len(list_filter(gold, lambda g: contains({_joined('b')}, {_joined('g')}))) > 0)) > 0"
 _REL_M = f"len(list_filter({_tagged('information')}, lambda b: len(list_filter(gold, lambda g: contains(b, g))) > 0)) > 0"
 _GOLDS = f"list_filter(list_transform(coalesce(gold, []), lambda v: {_strip('v')}), lambda v: v <> '')"
-_N = f"least(len(string_split({_squeeze('output')}, ' ')), 64)"
+_N = f"len(string_split({_squeeze('output')}, ' '))"
+
+
+_KEY = r"trim(regexp_replace(lower(args[1]), '[_\s]+', ' ', 'g'))"
 
 
 def _map(pairs: dict[str, str], x: str) -> str:
@@ -329,7 +332,7 @@ SELECT entry_id, round(CASE WHEN last IS NULL THEN CASE WHEN ok THEN 0.2 + bt EL
         "t21_t22_placed_scores": w + f"SELECT entry_id, {_N}::INT AS n, score + 0.0 AS total, score + 0.0 AS at_last, round(least(-({_N} - 40)::DOUBLE / 20, 0.0), 6) AS penalty FROM d WHERE score IS NOT NULL AND NOT isnan(score)",
         "t23_t24_actions": w + f""", b AS (SELECT entry_id, list_filter(list_transform(string_split({_tagged('action', 'is')}[1], chr(10)), lambda x: {_strip('x')}), lambda x: x <> '') AS ls FROM d),
 l AS (SELECT entry_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS i FROM b), a AS (SELECT entry_id, i::INT AS i, lower(regexp_extract(line, '{action}', 1)) AS name, list_transform(string_split(regexp_extract(line, '{action}', 2), '|'), lambda x: {_strip('x')}) AS args FROM l WHERE regexp_matches(line, '{action}'))
-SELECT entry_id, i, name, array_to_string(args, '|') AS args, CASE WHEN name IN ('compare', 'order') THEN {_map(MODES | ORDERS, 'lower(args[1])')} END AS mode FROM a""",
+SELECT entry_id, i, name, array_to_string(args, '|') AS args, CASE WHEN name IN ('compare', 'order') THEN {_map(COMPARISONS | ORDERS, _KEY)} END AS mode FROM a""",
         "t25_t26_t27_results": w + f""", i AS (SELECT entry_id, array_to_string({_tagged('information')}, chr(10)) AS info FROM d), k AS (SELECT *, regexp_extract_all(info, '([mg]\\.[A-Za-z0-9_]+)', 1) AS al, string_split(info, chr(10)) AS ls FROM i), j AS (SELECT *, {first_seen} AS ids FROM k)
 SELECT entry_id, len(ids)::INT AS n, CASE WHEN len(ids) <= 8 THEN array_to_string(ids, ', ') ELSE array_to_string(ids[1:5], ', ') || ' ... total ' || len(ids) END AS shown, array_to_string(ids[1:3], ' ') AS three,
  array_to_string(list_filter(ls, lambda x, i: list_sum(list_transform(ls[1:i], lambda y: len(y) + 1)) <= 120), chr(10)) AS cut FROM j""",

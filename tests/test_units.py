@@ -201,22 +201,96 @@ def test_bootstrap_draws_as_many_as_its_label_says(spark):
     assert abs(best["best@20000/mean"] - 0.632) < 0.06 and abs(best["worst@20000/mean"] + 0.632) < 0.06
 
 
-def test_most_frequent_vote_is_the_same_both_ways():
-    """Few draws of many votes are drawn one by one, the rest as counts: both as often as an enumeration says."""
-    import itertools
-    from collections import Counter
+def test_bootstraps_replay_the_generator(spark):
+    """Draw by draw over the group in order, with choice of one seeded generator."""
+    from collections import defaultdict
 
     import numpy as np
 
-    each = np.array([3, 2, 1, 1])
-    for n in (3, 4):
-        want: Counter = Counter()
-        for at in itertools.product([0, 0, 0, 1, 1, 2, 3], repeat=n):
-            times = Counter(at)
-            tied = [v for v, c in times.items() if c == max(times.values())]
-            want.update({v: 1 / len(tied) / 7**n for v in tied})
-        got = Counter(rollout._most_frequent(np.random.RandomState(1), n, each, 20000).tolist())
-        assert all(abs(got[v] / 20000 - want[v]) < 0.015 for v in range(4))
+    rng = np.random.RandomState(3)
+    rows = [("s", "abcd"[rng.randint(4)], float(rng.randint(5)) / 4) for _ in range(37)] + [("t", "a", 0.5)]
+    df = spark.createDataFrame(rows, "source string, vote string, val double")
+
+    def voted(part):
+        held = defaultdict(list)
+        for _, vote, val in part:
+            held[vote].append(val)
+        most = max(held, key=lambda v: len(held[v]))
+        return held[most][0]
+
+    def replay(data, n, *reducers):
+        np.random.seed(42)
+        got = [[] for _ in reducers]
+        for _ in range(1000):
+            part = [data[i] for i in np.random.choice(len(data), size=n, replace=True)]
+            for g, fn in zip(got, reducers):
+                g.append(fn(part))
+        return [x for g in got for x in (np.mean(g), np.std(g))]
+
+    group = sorted(r for r in rows if r[0] == "s")
+    values = sorted(r[2] for r in group)
+    best = {(r.source, r.metric): r.value for r in rollout.bootstrap_groups(df.select("source", "val"), ["source"]).collect()}
+    maj = {(r.source, r.metric): r.value for r in rollout.bootstrap_majority(df, ["source"]).collect()}
+    for n in (2, 4, 8, 16, 32, 37):
+        want = replay(values, n, max, min)
+        assert [best["s", f"{k}@{n}/{m}"] for k in ("best", "worst") for m in ("mean", "std")] == pytest.approx(want)
+        assert [maj["s", f"maj@{n}/{m}"] for m in ("mean", "std")] == pytest.approx(replay(group, n, voted))
+    assert {s for s, _ in best} == {s for s, _ in maj} == {"s"}
+
+
+def test_large_resamples_are_drawn_in_pieces(monkeypatch):
+    whole = list(rollout._places(50))
+    monkeypatch.setattr(rollout, "DRAWN", 16)
+    for (n, name, places), (m, other, pieces) in zip(whole, rollout._places(50)):
+        assert (n, name) == (m, other) and (places == pieces).all()
+
+
+def test_recurrences_over_arrays(spark, monkeypatch):
+    import numpy as np
+
+    from lodestone.functions import scans
+    from lodestone.operators import batch
+
+    rng = np.random.RandomState(1)
+    rows = [(i, rng.rand(n).tolist(), rng.rand(n).tolist()) for i, n in enumerate([0, 1, 5, 2000, 3, 0, 7])] + [(90, None, None), (91, [1.0], None)]
+    df = spark.createDataFrame(rows, "id int, b array<double>, c array<double>")
+    for cells in (1 << 20, 8):
+        monkeypatch.setattr(scans, "CELLS", cells)
+        got = {r.id: r.x for r in df.select("id", scans.from_the_end(F.col("b"), F.col("c")).alias("x")).collect()}
+        assert got[90] is None and got[91] is None
+        for i, b, c in rows[:-2]:
+            want, x = [], 0.0
+            for p, q in zip(b[::-1], c[::-1]):
+                x = p + q * x
+                want.append(x)
+            assert got[i] == pytest.approx(want[::-1])
+    masks = spark.createDataFrame([(1, [0, 1, 1, 0, 1]), (2, []), (3, [1] * 3)], "id int, m array<int>")
+    assert {r.id: r.p for r in masks.select("id", batch.positions(F.col("m")).alias("p")).collect()} == {1: [0, 0, 1, 0, 2], 2: [], 3: [0, 1, 2]}
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from lodestone import session
+
+    class Conf(dict):
+        def set(self, k, v):
+            self[k] = v
+
+    class Spark:
+        conf = Conf({"spark.master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session._shared_folder(Spark())
+
+
+def test_modes_in_words_are_kept():
+    from lodestone.operators.etl import HintFold
+    from lodestone.plans import functions_list as fl
+
+    for words, mode in (("LESS EQUAL", "le"), ("GREATER EQUAL", "ge"), ("LESS_THAN", "lt"), ("greater  than", "gt"), ("<=", "le")):
+        assert any(f"CMP('{mode}', 'a.b.c'" in x for x in fl.build(fl.parse_actions(f"<action>\nAction1: Compare [ {words} | a.b.c | 3 ]\n</action>")))
+        assert HintFold([]).line(f"Action1: Compare [ {words} | a.b.c | 3 ]") == f"Compare [ {mode} | a.b.c | 3 ]"
+    assert HintFold([]).line("Action1: Compare [ NOT EQUAL TO | a.b.c | 3 ]") == "Compare [ ne | a.b.c | 3 ]"
+    assert HintFold([]).line("Action1: Order [ arg max | x | a.b.c ]") == "Order [ MAX | x | a.b.c ]"
 
 
 def test_passages_hold_the_whole_text_of_their_hits(spark, sf_dir):
