@@ -7,7 +7,7 @@ group with a third of all rows is combined on the map side and split by adaptive
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -342,8 +342,17 @@ def bootstrap(values: np.ndarray, size: int, reducers: dict[str, Callable], draw
     return {n: (float(np.mean(v)), float(np.std(v))) for n, v in got.items()}
 
 
+@lru_cache(maxsize=128)
+def _kept_resample(total: int, n: int, draws: int, seed: int) -> np.ndarray:
+    return np.random.RandomState(seed).choice(total, size=(draws, n), replace=True)
+
+
 def _resamples(total: int, n: int, draws: int = 1000, seed: int = 42) -> Iterator[np.ndarray]:
-    """The indices that `draws` calls of choice(total, n) of one seeded generator give, a block of resamples at a time."""
+    """The indices that `draws` calls of choice(total, n) of one seeded generator give, a block of resamples at a time. They are the
+    same for all groups of one size; those of small groups are kept."""
+    if n <= 32:
+        yield _kept_resample(total, n, draws, seed)
+        return
     rng = np.random.RandomState(seed)
     rows = max(1, DRAWN // n)
     for i in range(0, draws, rows):
@@ -375,6 +384,24 @@ def _places(total: int) -> Iterator[tuple[int, str, np.ndarray]]:
         yield n, "worst", worst + 1
 
 
+def _per_group(rows: DataFrame, keys: list[str], columns: list[str], fn: Callable[..., Iterator[tuple[int, str, float]]]) -> DataFrame:
+    """(keys, n, metric, value) of fn over the columns of each group, ordered by them. Groups are rows of arrays, so a task takes
+    many small ones at once; they are spread over as many tasks as there are shuffle partitions, small as they may be."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = rows.repartition(tasks, *keys).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("_h"))
+    slim = held.select(*keys, *[C(f"_h.{c}").alias(f"_{c}") for c in columns])
+    schema = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys) + ", n long, metric string, value double"
+
+    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [list(fn(*(np.asarray(x) for x in arrays))) for arrays in zip(*(pdf[f"_{c}"] for c in columns))]
+            out = pdf[keys].loc[pdf.index.repeat([len(f) for f in found])].reset_index(drop=True)
+            flat = pd.DataFrame([x for f in found for x in f], columns=["n", "metric", "value"])
+            yield pd.concat([out, flat], axis=1)
+
+    return slim.mapInPandas(go, schema)
+
+
 def bootstrap_groups(df: DataFrame, keys: list[str], held: int = 1 << 18) -> DataFrame:
     """(keys, n, metric, value): best and worst of subsets of 2, 4, ... and all values of each group.
 
@@ -384,28 +411,22 @@ def bootstrap_groups(df: DataFrame, keys: list[str], held: int = 1 << 18) -> Dat
     looked up where it lies; the values drawn are the same.
     """
     counts = cut(df.groupBy(*keys, "val").agg(F.count("*").alias("c")), "histogram")
-    schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys) + ", n long, metric string, value double"
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        v, c = pdf["val"].to_numpy(float), pdf["c"].to_numpy(np.int64)
-        order = np.argsort(v)
-        v, ends = v[order], np.cumsum(c[order])
-        total, out = int(ends[-1]), []
+    def stats(v: np.ndarray, c: np.ndarray) -> Iterator[tuple[int, str, float]]:
+        ends = np.cumsum(c)
+        total = int(ends[-1])
         for n, name, places in _places(total) if total > 1 else ():
             red = v[np.searchsorted(ends, places)]
-            out += [(total, f"{name}@{n}/mean", float(red.mean())), (total, f"{name}@{n}/std", float(red.std()))]
-        res = pd.DataFrame(out, columns=["n", "metric", "value"])
-        for i, k in enumerate(keys):
-            res.insert(i, k, pdf[k].iloc[0])
-        return res
+            yield total, f"{name}@{n}/mean", float(red.mean())
+            yield total, f"{name}@{n}/std", float(red.std())
 
     large = counts.groupBy(*keys).agg(F.count("*").alias("_k"), F.sum("c").alias("n")).where(C("_k") > held)
     large = cut(large.withColumn("_g", F.monotonically_increasing_id()), "large")
     if large.isEmpty():
-        return counts.groupBy(*keys).applyInPandas(one, schema)
+        return _per_group(counts, keys, ["val", "c"], stats)
     named = F.broadcast(large.select("_g", *[C(k).alias(f"_{i}") for i, k in enumerate(keys)]))
     same = reduce(Column.__and__, [C(k).eqNullSafe(C(f"_{i}")) for i, k in enumerate(keys)])
-    rest = counts.join(named, same, "left_anti").groupBy(*keys).applyInPandas(one, schema)
+    rest = _per_group(counts.join(named, same, "left_anti"), keys, ["val", "c"], stats)
     drawn = _looked_up(counts.join(named, same).select("_g", "val", "c"), large.select("_g", "n"))
     stats = drawn.groupBy("_g", "_at").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
     stats = stats.join(F.broadcast(large), "_g").select(*keys, "n", F.explode(F.array(*[F.struct(F.concat("_at", F.lit(f"/{m}")).alias("metric"), C(m).alias("value")) for m in ("mean", "std")])).alias("r"))
@@ -440,8 +461,8 @@ def _looked_up(counts: DataFrame, totals: DataFrame) -> DataFrame:
     return wanted.groupBy("_g", "_q").cogroup(ranges.groupBy("_g", "_p")).applyInPandas(found, "_g long, _at string, value double")
 
 
-def _first_of_most(votes: np.ndarray, k: int) -> np.ndarray:
-    """For each row of votes (codes below k) the place where its most frequent vote stands first; among equals the one met first.
+def _first_of_most(votes: np.ndarray) -> np.ndarray:
+    """For each row of votes the place where its most frequent vote stands first; among equals the one met first.
     A vote's last place less its first, in sorted order of (row, vote), is its number."""
     rows, n = votes.shape
     order = np.argsort(votes, axis=1, kind="stable")
@@ -466,26 +487,21 @@ def bootstrap_majority(df: DataFrame, keys: list[str], draws: int = 1000, seed:
     and score are one weighted entry, into which indices are mapped, so what a task holds grows with the different ones only.
     """
     counts = df.groupBy(*keys, "vote", "val").agg(F.count("*").alias("c"))
-    schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys) + ", n long, metric string, value double"
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["vote", "val"])
-        code, val, ends = pd.factorize(pdf["vote"], use_na_sentinel=False)[0], pdf["val"].to_numpy(float), np.cumsum(pdf["c"].to_numpy(np.int64))
-        total, out = int(ends[-1]), []
+    def stats(vote: np.ndarray, val: np.ndarray, c: np.ndarray) -> Iterator[tuple[int, str, float]]:
+        code, ends = pd.factorize(vote, use_na_sentinel=False)[0], np.cumsum(c)
+        total = int(ends[-1])
         for n in _sizes(total) if total > 1 else ():
             got = []
             for drawn in _resamples(total, n, draws, seed):
                 entry = np.searchsorted(ends, drawn, side="right")
-                first = _first_of_most(code[entry], len(code))
+                first = _first_of_most(code[entry])
                 got.append(val[entry[np.arange(len(entry)), first]])
             got = np.concatenate(got)
-            out += [(total, f"maj@{n}/mean", float(got.mean())), (total, f"maj@{n}/std", float(got.std()))]
-        res = pd.DataFrame(out, columns=["n", "metric", "value"])
-        for i, k in enumerate(keys):
-            res.insert(i, k, pdf[k].iloc[0])
-        return res
+            yield total, f"maj@{n}/mean", float(got.mean())
+            yield total, f"maj@{n}/std", float(got.std())
 
-    return counts.groupBy(*keys).applyInPandas(one, schema)
+    return _per_group(counts, keys, ["vote", "val", "c"], stats)
 
 
 def majority(df: DataFrame, keys: list[str], vote: str, val: str, order: str) -> DataFrame:
