@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.words import key128, word_string
 from lodestone.llm.near_dups import candidates, classes, named
-from lodestone.llm.sets import _WORD, _Hashes, elements, popcounts, prefix_cells
+from lodestone.llm.sets import _Hashes, elements, popcounts, prefix_cells, words_of
 from lodestone.session import cut
 
 # Markers of failure instead of an S-expression, in any case.
@@ -64,7 +64,7 @@ def _cut_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for i, (row_id, side, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("id", "side", "_t")))):
-            words = _WORD.findall(text.lower())
+            words = words_of(text)
             if words:
                 els, parts = elements(words, 1, hashes), chunks_of(words, values)
                 digests = [np.uint64(xxhash.xxh3_64_intdigest(" ".join(p))).astype(np.int64) for p in parts]

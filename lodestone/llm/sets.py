@@ -8,7 +8,6 @@ prefix join needs; collisions cost time, never a pair.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,10 +21,25 @@ SEGMENTS = 16
 SKETCH_BITS = 18
 SKETCH = 1 << SKETCH_BITS
 PAIRED = 32
-_WORD = re.compile(r"[^\W_]+")
 _MIX = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
+class _Letters(dict):
+    """For str.translate: letters and digits stay, every other character becomes a blank."""
+
+    def __missing__(self, code: int) -> int:
+        value = self[code] = code if chr(code).isalnum() else 32
+        return value
+
+
+_LETTERS = _Letters()
+
+
+def words_of(text: str) -> list[str]:
+    """The words of text, its longest runs of letters and digits, in lower case."""
+    return text.lower().translate(_LETTERS).split()
+
+
 class _Hashes(dict):
     """64-bit digests of words, kept while they are few."""
 
@@ -84,7 +98,7 @@ def _describe(run: int, least_words: int, least_elements: int, slots: bool, keep
         for batch in batches:
             kept, n, digest, pops, segs, lists = [], [], [], [], [], []
             for i, text in enumerate(batch.column("_t").to_pylist()):
-                words = _WORD.findall(text.lower())
+                words = words_of(text)
                 if len(words) < max(least_words, run):
                     continue
                 els = elements(words, run, hashes)
