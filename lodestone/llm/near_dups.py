@@ -26,6 +26,7 @@ from lodestone.session import cut
 
 BLOCK_SLOTS = 4
 LEAST_BLOCKS = 2
+FILTER_BITS = 1 << 24
 
 
 def manhattan(a: Column, b: Column) -> Column:
@@ -100,6 +101,16 @@ def expanded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return cross.unionByName(inside).select(F.least("x", "y").alias("a_id"), F.greatest("x", "y").alias("b_id"))
 
 
+def perhaps_in(rows: DataFrame, ids: DataFrame, row_id: str) -> DataFrame:
+    """The rows whose row_id stands in ids, and some others: ids are marked in FILTER_BITS bits, sent to all tasks as at most
+    FILTER_BITS / 64 rows however many ids there are. It keeps texts that can't be wanted out of the exchange of an exact join."""
+    place = F.pmod(F.xxhash64(row_id), F.lit(FILTER_BITS))
+    marked = ids.select(F.shiftright(place, 6).alias("_w"), F.expr(f"shiftleft(1L, int(pmod(xxhash64(`{row_id}`), 64)))").alias("_m"))
+    bits = marked.groupBy("_w").agg(F.bit_or("_m").alias("_bits"))
+    near = rows.withColumn("_w", F.shiftright(place, 6)).join(F.broadcast(bits), "_w")
+    return near.where(F.expr(f"bit_get(_bits, int(pmod(xxhash64(`{row_id}`), 64))) = 1")).select(*rows.columns)
+
+
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(id, class_id, links) of every row of sets: the smallest id of the equal sets, and how many other rows are near-same.
 
@@ -130,7 +141,8 @@ def output_pairs(entries: DataFrame, row_id: str = "entry_id", text: str = "outp
     sets = cut(described(entries, row_id, text, run=3, least_words=40, slots=True).select("id", "n", "digest", "slots"), "outputs")
     pairs = cut(near_long(classes(sets)), "output-pairs")
     ids = pairs.select(F.col("a").alias(row_id)).union(pairs.select(F.col("b").alias(row_id))).distinct()
-    again = entries.select(row_id, text).join(ids, row_id, "left_semi")
+    # an inner join, which stays behind the filter; a semi-join would be pushed below it
+    again = perhaps_in(entries.select(row_id, text), ids, row_id).join(ids, row_id)
     els = cut(described(again, row_id, text, run=3, least_words=40, keep_elements=True).select("id", "els"), "elements")
     return verified(pairs, els, 3, 5), sets
 
