@@ -89,8 +89,9 @@ def rloo(df: DataFrame, vectorised: bool = False) -> DataFrame:
 
 
 def opo(df: DataFrame) -> DataFrame:
-    """The baseline weighs scores by length; a group of one has baseline 0."""
-    d = with_groups(df, "uid", _n=F.count("*"), _b=F.sum(C("len") * C("score")) / F.sum("len"))
+    """The baseline weighs scores by length; a group of one has baseline 0. That of several rows without any length is NaN, as 0 / 0 is in the reference."""
+    total = F.sum("len")
+    d = with_groups(df, "uid", _n=F.count("*"), _b=F.when(total != 0, F.sum(C("len") * C("score")) / total).otherwise(float("nan")))
     return d.withColumn("adv", C("score") - F.when(C("_n") == 1, 0.0).otherwise(C("_b")))
 
 

@@ -121,6 +121,12 @@ def test_rloo_variants_agree_beyond_one(spark):
     assert all(abs(x[i] - y[i]) < 1e-9 for i in (1, 2, 3)) and (x[4], y[4]) == (5.0, 0.0)
 
 
+def test_opo_of_groups_without_length(spark):
+    rows = [(1, "a", 1.0, 0), (2, "b", 1.0, 0), (3, "b", 0.5, 0), (4, "c", 1.0, 3), (5, "c", 0.0, 1)]
+    got = {r.i: r.adv for r in rollout.opo(spark.createDataFrame(rows, "i int, uid string, score double, len int")).collect()}
+    assert (got[1], got[4], got[5]) == (1.0, 0.25, -0.75) and got[2] != got[2] and got[3] != got[3]
+
+
 def test_column_union_refuses_different_values(spark):
     a = spark.createDataFrame([(0, 1.0), (1, 2.0)], "idx long, x double")
     assert b.union_columns(a, a.withColumn("y", F.lit(1))).count() == 2
