@@ -8,16 +8,18 @@ the rest of the corpus would let expect. The shares of such words decide: a page
 which at most SAFE is salad or repeated is not. Between these, and for repetition, which may be that of whole sentences, the
 page's form breaks the tie: less than half of its words in sentences.
 
-The counts cover all words and all neighbour pairs of all texts. Of the tables made of them, the MOST_WORDS most frequent words and the MOST_PAIRS most frequent
-pairs are sent to every task, so their size is bounded whatever that of the corpus. A pair that is
-not among them says nothing unless its words are so frequent that it should be: it then counts as if it were just below the least
-count kept, which is never more than it had by chance. Rare words thus don't blur a page's mean.
+The counts cover all words and all neighbour pairs of all texts. A pair seen fewer than LEAST_COUNT times says nothing unless its words
+are so frequent that it should be: it then counts as if it were just below LEAST_COUNT. Rare words thus don't blur a page's mean.
+
+The MOST_WORDS most frequent words and the MOST_PAIRS most frequent pairs are sent to every task, so the size of these tables is
+bounded whatever that of the corpus. If there are more with LEAST_COUNT or more, the counts of the rest are joined to groups of texts, one row for each group and key
+that a filter of at most 2^MARK_BITS bits lets pass. The scores are the same either way.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,8 @@ from lodestone.session import cut
 MOST_WORDS = 1 << 18
 MOST_PAIRS = 1 << 20
 LEAST_COUNT = 3
+GROUP_WORDS = 1 << 17
+MARK_BITS = 27
 SMOOTH = 2.0
 NEAR = 8
 FAR = (5, 8, 13)
@@ -95,6 +99,64 @@ class _Places:
         return np.where(there, of[at], 0) if len(of) else np.zeros(len(x), of.dtype)
 
 
+def _marks_at(x: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The two places of each key among 2^bits marks."""
+    return [(x * odd) >> np.uint64(64 - bits) for odd in _ODD]
+
+
+def _perhaps(x: np.ndarray, marks: np.ndarray | None) -> np.ndarray:
+    """Whether both marks of each key are set; without marks none is."""
+    there = np.full(len(x), marks is not None)
+    for at in _marks_at(x, len(marks).bit_length() + 5) if marks is not None else ():
+        there &= (marks[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    return there
+
+
+def _marks(keys: DataFrame) -> np.ndarray | None:
+    """Marks of the keys (key), 64 to a number, None if there are no keys. At most 2^(MARK_BITS - 6) rows come to the driver."""
+    if not (n := keys.count()):
+        return None
+    bits = min(MARK_BITS, max(10, (16 * n).bit_length()))
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.unique(np.concatenate(_marks_at(batch.column("key").to_numpy().view(np.uint64), bits)))
+            word, bit = x >> np.uint64(6), np.uint64(1) << (x & np.uint64(63))
+            start = np.flatnonzero(np.diff(word, prepend=~word[:1]))
+            m = np.bitwise_or.reduceat(bit, start) if len(start) else bit
+            yield pa.RecordBatch.from_arrays([pa.array(word[start].view(np.int64)), pa.array(m.view(np.int64))], names=["w", "m"])
+
+    rows = keys.select("key").mapInArrow(go, "w long, m long").groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()
+    marks = np.zeros(1 << (bits - 6), np.uint64)
+    marks[rows["w"].to_numpy(np.int64)] = rows["m"].to_numpy(np.int64).view(np.uint64)
+    return marks
+
+
+class _Table(_Places):
+    """Counts of the keys sent to every task, and marks of the rest (None if there is none)."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, marks: np.ndarray | None, total: int):
+        super().__init__(keys)
+        self.n, self.marks, self.total = n, marks, total
+
+    def counts(self, x: np.ndarray, more: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """Counts of x, of which some are in more (sorted keys, counts)."""
+        out = self.values(x, self.n)
+        if more and len(more[0]):
+            k = np.minimum(np.searchsorted(more[0], x), len(more[0]) - 1)
+            out = np.where(more[0][k] == x, more[1][k], out)
+        return out
+
+    def known(self, x: np.ndarray) -> np.ndarray:
+        return self.find(x)[1] | _perhaps(x, self.marks)
+
+    def unsent(self, x: np.ndarray) -> np.ndarray:
+        """The distinct ones of x that may be in the rest."""
+        x = np.unique(x)
+        x = x[_perhaps(x, self.marks)]
+        return x[~self.find(x)[1]]
+
+
 class _Short(_Hashes):
     """32-bit digests of words."""
 
@@ -124,29 +186,36 @@ def sentence_share(text: str) -> tuple[list[str], float]:
 
 def _tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = _Short()
+    group, size = None, 0
     for batch in batches:
-        words, shares, ends = [], [], [0]
-        for text in batch.column("_t").to_pylist():
+        words, shares, ends, groups = [], [], [0], []
+        for row, text in zip(batch.column("_row").to_pylist(), batch.column("_t").to_pylist()):
             here, share = sentence_share(text)
             words += here
             shares.append(share)
             ends.append(len(words))
+            if group is None or size > GROUP_WORDS:
+                group, size = row, 0
+            size += len(here)
+            groups.append(group)
         flat = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint32, count=len(words))
-        yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int32))), pa.array(shares, pa.float64())], names=["_id", "h", "in_sentences"])
+        yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int32))), pa.array(shares, pa.float64()), pa.array(groups, pa.int64())], names=["_id", "h", "in_sentences", "_group"])
 
 
 def tokenised(docs: DataFrame, row_id: str, text: str) -> DataFrame:
-    """(_id, h, in_sentences) of each text that isn't null: 32-bit digests of its words in order, and the share of them in sentences."""
+    """(_id, h, in_sentences, _group) of each text that isn't null: 32-bit digests of its words in order, the share of them in sentences,
+    and a number that it shares with its neighbours, of some GROUP_WORDS words together."""
     kind = docs.schema[row_id].dataType.simpleString()
-    return docs.where(F.col(text).isNotNull()).select(F.col(row_id).alias("_id"), F.col(text).alias("_t")).mapInArrow(_tokenised, f"_id {kind}, h array<int>, in_sentences double")
+    slim = docs.where(F.col(text).isNotNull()).select(F.col(row_id).alias("_id"), F.col(text).alias("_t"), F.monotonically_increasing_id().alias("_row"))
+    return slim.mapInArrow(_tokenised, f"_id {kind}, h array<int>, in_sentences double, _group long")
 
 
 def _pairs(h: np.ndarray, ends: np.ndarray, lag: int) -> tuple[np.ndarray, np.ndarray]:
     """(keys, places of the first word) of the words `lag` places apart in one text."""
-    first = np.ones(len(h), bool)
+    first = np.ones(len(h) + 1, bool)  # the last place is for empty texts at the end
     for k in range(1, lag + 1):
         first[np.maximum(ends[1:] - k, ends[:-1])] &= np.diff(ends) < k  # the last `lag` words of a text begin no pair
-    at = np.flatnonzero(first)
+    at = np.flatnonzero(first[:-1])
     return (h[at] << np.uint64(32)) | h[at + lag], at
 
 
@@ -155,7 +224,7 @@ def _counts(known=None):
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        places = None if known is None else _Places(known.value)
+        table = None if known is None else _Table(*known.value)
 
         def flush() -> pa.RecordBatch:
             keys, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint64), np.empty(0, np.int64))
@@ -165,8 +234,8 @@ def _counts(known=None):
         for batch in batches:
             h, ends = _lists(batch, "h")
             h = h & _LOW
-            if places is not None:
-                there = places.find(h)[1]
+            if table is not None:
+                there = table.known(h)
                 keys, at = _pairs(h, ends, 1)
                 h = keys[there[at] & there[at + 1]]
             held.append(h)
@@ -195,56 +264,107 @@ def most_frequent(counted: DataFrame, most: int, least: int = LEAST_COUNT) -> tu
     return rows["key"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64), bar, sum(n for _, _, n in steps)
 
 
-def _score(tables):
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, word_n, pairs, pair_n, bar, total = tables.value
-        word_at, pair_at = _Places(words), _Places(pairs)
+def _runs(groups: np.ndarray) -> list[tuple[int, int]]:
+    """(first, beyond the last) of each run of equal numbers."""
+    at = [*np.flatnonzero(np.diff(groups, prepend=~groups[:1])), len(groups)]
+    return list(zip(at[:-1], at[1:]))
+
 
-        def excess(keys: np.ndarray, at: np.ndarray, c: np.ndarray, lag: int) -> tuple[np.ndarray, np.ndarray]:
-            """(smoothed PMI, counts) of pairs."""
-            n = pair_at.values(keys, pair_n)
-            by_chance = c[at] * c[at + lag] / max(1, total)
-            return np.log((np.where(n > 0, n, np.minimum(by_chance, bar - 1)) + SMOOTH) / (by_chance + SMOOTH)), n
+def _wanted(tables):
+    """(is_pair, key, _group): the words and pairs of each group of texts whose counts weren't sent to every task."""
 
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, pairs = (_Table(*x) for x in tables.value)
         for batch in batches:
             h, ends = _lists(batch, "h")
             h = h & _LOW
-            size = np.diff(ends)
-            text = np.repeat(np.arange(len(size)), size)
-            c = word_at.values(h, word_n).astype(np.float64)
-            keys, at = _pairs(h, ends, 1)
-            pmi, n = excess(keys, at, c, 1)
-            apart, apart_n = np.zeros(len(size)), np.zeros(len(size))
-            for lag in FAR:
-                k, i = _pairs(h, ends, lag)
-                apart += np.bincount(text[i], excess(k, i, c, lag)[0], minlength=len(size))
-                apart_n += np.maximum(size - lag, 0)
-            apart /= np.maximum(apart_n, 1)
-            near = np.bincount(text[at], pmi, minlength=len(size)) / np.maximum(size - 1, 1)
-
-            sums = np.zeros(len(h) + 1)
-            sums[at + 1] = pmi
-            sums = np.cumsum(sums)
-            i = np.arange(len(h))
-            low, high = np.maximum(i - NEAR, ends[text]), np.minimum(i + NEAR, ends[text + 1] - 1)
-            salad = (sums[high] - sums[low]) / np.maximum(high - low, 1) - apart[text] < COHERENT
-
-            order = np.lexsort((keys, text[at]))
-            new = np.ones(len(keys), bool)
-            new[1:] = (keys[order][1:] != keys[order][:-1]) | (text[at][order][1:] != text[at][order][:-1])
-            group = np.cumsum(new) - 1
-            here = np.empty(len(keys), np.int64)
-            here[order] = np.bincount(group)[group] if len(keys) else 0
-            elsewhere = np.maximum(np.where(n > 0, n - here, bar), 1)
-            often = (here >= REPEATS) & (here * float(max(1, total)) >= EXCESS * elsewhere * size[text[at]])
-            repeated = np.zeros(len(h), bool)
-            repeated[at[often]] = repeated[at[often] + 1] = True
-
-            share = lambda marks: np.bincount(text, marks, minlength=len(size)) / np.maximum(size, 1)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("_id"), pa.array(size.astype(np.int32)), *(pa.array(x.astype(np.float64)) for x in (near - apart, share(salad), share(repeated), share(salad | repeated))), batch.column("in_sentences")],
-                names=["_id", "words", "coherence", "salad", "repeated", "marked", "in_sentences"],
-            )
+            groups = batch.column("_group").to_numpy()
+            for first, last in _runs(groups):
+                here, its_ends = h[ends[first] : ends[last]], ends[first : last + 1] - ends[first]
+                lone = words.unsent(here)
+                two = pairs.unsent(np.concatenate([_pairs(here, its_ends, lag)[0] for lag in (1, *FAR)]))
+                n = len(lone) + len(two)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(n) >= len(lone)), pa.array(np.concatenate([lone, two]).view(np.int64)), pa.array(np.full(n, groups[first]))], names=["is_pair", "key", "_group"])
+
+    return go
+
+
+_Lookup = Callable[[np.ndarray], np.ndarray]
+
+
+def _scored(batch: pa.RecordBatch, word_count: _Lookup, pair_count: _Lookup, total: int) -> pa.RecordBatch:
+    h, ends = _lists(batch, "h")
+    h = h & _LOW
+    size = np.diff(ends)
+    text = np.repeat(np.arange(len(size)), size)
+    c = word_count(h).astype(np.float64)
+
+    def excess(keys: np.ndarray, at: np.ndarray, lag: int) -> tuple[np.ndarray, np.ndarray]:
+        """(smoothed PMI, counts) of pairs."""
+        n = pair_count(keys)
+        by_chance = c[at] * c[at + lag] / max(1, total)
+        return np.log((np.where(n > 0, n, np.minimum(by_chance, LEAST_COUNT - 1)) + SMOOTH) / (by_chance + SMOOTH)), n
+
+    keys, at = _pairs(h, ends, 1)
+    pmi, n = excess(keys, at, 1)
+    apart, apart_n = np.zeros(len(size)), np.zeros(len(size))
+    for lag in FAR:
+        k, i = _pairs(h, ends, lag)
+        apart += np.bincount(text[i], excess(k, i, lag)[0], minlength=len(size))
+        apart_n += np.maximum(size - lag, 0)
+    apart /= np.maximum(apart_n, 1)
+    near = np.bincount(text[at], pmi, minlength=len(size)) / np.maximum(size - 1, 1)
+
+    sums = np.zeros(len(h) + 1)
+    sums[at + 1] = pmi
+    sums = np.cumsum(sums)
+    i = np.arange(len(h))
+    low, high = np.maximum(i - NEAR, ends[text]), np.minimum(i + NEAR, ends[text + 1] - 1)
+    salad = (sums[high] - sums[low]) / np.maximum(high - low, 1) - apart[text] < COHERENT
+
+    order = np.lexsort((keys, text[at]))
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[order][1:] != keys[order][:-1]) | (text[at][order][1:] != text[at][order][:-1])
+    group = np.cumsum(new) - 1
+    here = np.empty(len(keys), np.int64)
+    here[order] = np.bincount(group)[group] if len(keys) else 0
+    elsewhere = np.maximum(n - here, 1)
+    often = (here >= REPEATS) & (here * float(max(1, total)) >= EXCESS * elsewhere * size[text[at]])
+    repeated = np.zeros(len(h), bool)
+    repeated[at[often]] = repeated[at[often] + 1] = True
+
+    share = lambda marks: np.bincount(text, marks, minlength=len(size)) / np.maximum(size, 1)
+    return pa.RecordBatch.from_arrays(
+        [batch.column("_id"), pa.array(size.astype(np.int32)), *(pa.array(x.astype(np.float64)) for x in (near - apart, share(salad), share(repeated), share(salad | repeated))), batch.column("in_sentences")],
+        names=["_id", "words", "coherence", "salad", "repeated", "marked", "in_sentences"],
+    )
+
+
+def _score(tables):
+    """Scores from the tables alone, which hold all."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, pairs = (_Table(*x) for x in tables.value)
+        for batch in batches:
+            yield _scored(batch, words.counts, pairs.counts, words.total)
+
+    return go
+
+
+def _score_group(tables):
+    """Scores of a group of texts from the tables and the counts that were looked up for it: (is_pair, key, n, _group)."""
+    made = []
+
+    def go(texts: pa.Table, found: pa.Table) -> pa.Table:
+        if not made:
+            made.extend(_Table(*x) for x in tables.value)
+        words, pairs = made
+        is_pair, key, n = (found.column(c).to_numpy() for c in ("is_pair", "key", "n"))
+        order = np.argsort(key := key.view(np.uint64))
+        lone, two = order[~is_pair[order]], order[is_pair[order]]
+        batch = pa.RecordBatch.from_arrays([texts.column(c).combine_chunks() for c in ("_id", "h", "in_sentences")], names=["_id", "h", "in_sentences"])
+        scored = _scored(batch, lambda x: words.counts(x, (key[lone], n[lone])), lambda x: pairs.counts(x, (key[two], n[two])), words.total)
+        return pa.Table.from_batches([scored])
 
     return go
 
@@ -259,15 +379,25 @@ def page_scores(docs: DataFrame, row_id: str = "doc_id", text: str = "text", mos
     context = docs.sparkSession.sparkContext
     texts = cut(tokenised(docs, row_id, text), "words")
 
-    def frequent(most: int, known=None) -> tuple[np.ndarray, np.ndarray, int, int]:
-        counted = texts.select("h").mapInArrow(_counts(known), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-        return most_frequent(cut(counted, "counts"), most)
+    def frequent(most: int, known=None) -> tuple[tuple, DataFrame]:
+        """The table of words, or of pairs of known ones, and the rest (key, n) that isn't in it."""
+        counted = cut(texts.select("h").mapInArrow(_counts(known), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "counts")
+        keys, n, bar, total = most_frequent(counted, most)
+        rest = counted.where((F.col("n") >= LEAST_COUNT) & (F.col("n") < bar))
+        return (keys, n, _marks(rest) if bar > LEAST_COUNT else None, total), rest
 
-    words, word_n, _, total = frequent(most_words)
-    pairs, pair_n, bar, _ = frequent(most_pairs, context.broadcast(words))
-    tables = context.broadcast((words, word_n, pairs, pair_n, bar, total))
+    words, more_words = frequent(most_words)
+    pairs, more_pairs = frequent(most_pairs, context.broadcast(words))
+    tables = context.broadcast((words, pairs))
     kind = docs.schema[row_id].dataType.simpleString()
-    scored = texts.mapInArrow(_score(tables), f"_id {kind}, words int, coherence double, salad double, repeated double, marked double, in_sentences double")
+    columns = f"_id {kind}, words int, coherence double, salad double, repeated double, marked double, in_sentences double"
+    if words[2] is not None or pairs[2] is not None:
+        more = more_words.withColumn("is_pair", F.lit(False)).unionByName(more_pairs.withColumn("is_pair", F.lit(True)))
+        wanted = texts.select("h", "_group").mapInArrow(_wanted(tables), "is_pair boolean, key long, _group long")
+        found = wanted.hint("merge").join(more, ["is_pair", "key"])
+        scored = texts.groupBy("_group").cogroup(found.groupBy("_group")).applyInArrow(_score_group(tables), columns)
+    else:
+        scored = texts.mapInArrow(_score(tables), columns)
     return scored.withColumnRenamed("_id", row_id)
 
 

@@ -304,6 +304,26 @@ def test_stuffed_pages(spark):
     assert stuffed_pages.stuffed_pages(df.where("false")).count() == 0
 
 
+def test_page_scores_dont_depend_on_the_tables_sent(spark):
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(60)]
+    docs = [(i, " ".join(rng.choice(words[: rng.choice((2, 10, 60))]) for _ in range(rng.choice((1, 4, 30, 90))))) for i in range(400)]
+    docs += [(1000, "cheap store, " * 60), (1001, "word " * 3000), (1002, None), (1003, "..."), (1004, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    rows = lambda **most: {r.doc_id: r for r in stuffed_pages.page_scores(df, **most).collect()}
+    whole = rows()
+    assert len(whole) == 404
+    for most in ({"most_words": 5, "most_pairs": 9}, {"most_words": 0, "most_pairs": 0}, {"most_words": 5}, {"most_pairs": 9}):
+        some = rows(**most)
+        assert some.keys() == whole.keys()
+        assert all(tuple(some[i]) == pytest.approx(tuple(whole[i]), abs=1e-9) for i in whole)
+
+
+def test_pairs_of_a_batch_that_ends_in_an_empty_text():
+    h, ends = np.array([1, 2, 3], np.uint64), np.array([0, 0, 3, 3])
+    assert [stuffed_pages._pairs(h, ends, lag)[1].tolist() for lag in (1, 2, 3)] == [[0, 1], [0], []]
+
+
 def test_most_frequent_is_bounded(spark):
     counted = spark.createDataFrame([(k, n) for k, n in enumerate([1, 2, 3, 3, 5, 8, 100, 1000])], "key long, n long")
     keys, n, bar, total = stuffed_pages.most_frequent(counted, 100)
